@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
@@ -118,3 +119,42 @@ def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
             yield mix(np.array([(words[s:e] * mul[: e - s]).sum(dtype=np.uint64) + np.uint64(e - s)], dtype=np.uint64))
         else:
             yield np.zeros(0, np.uint64)
+
+
+def slices(column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of ``column`` with about ``most`` bytes each; a longer text has its own."""
+    _, off = buffers(column)
+    k, n = 0, len(column)
+    while k < n:
+        to = max(k + 1, int(np.searchsorted(off, off[k] + most, side="right")) - 1)
+        yield k, min(n, to)
+        k = to
+
+
+def blank_words(column: pa.Array, lines: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, index of each word in text order, offsets by text) of texts split at blanks.
+
+    Empty words count. lines: line feeds split as blanks do. Null counts as the empty text.
+    """
+    data, off = buffers(column)
+    data = data[off[0] : off[-1]]
+    if lines and len(data):
+        data = np.where(data == 10, np.uint8(32), data)
+    texts = pa.LargeStringArray.from_buffers(len(column), pa.py_buffer((off - off[0]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+    split = pc.split_pattern(texts, " ")
+    words = split.flatten().dictionary_encode()
+    if isinstance(words, pa.ChunkedArray):
+        words = words.combine_chunks()
+    return words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False), split.offsets.to_numpy()
+
+
+def gather(parts: list[bytes], index: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts in order, offsets by text), where ``parts`` has the 32-bit ids of each word."""
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    flat = np.frombuffer(b"".join(parts), np.uint32)
+    start = np.cumsum(size) - size
+    n = size[index]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    at = np.repeat(start[index] - ends[:-1], n)
+    at += np.arange(len(at))
+    return flat[at], ends[offsets]
