@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqrec.llm import language, pii
+from seqrec.llm.line_dedup import dedup_lines
 from seqrec.llm.ngram_join import ngram_jaccard_join
 from seqrec.llm.packing import pack_documents
 from seqrec.llm.topk_search import exact_top_k
@@ -17,6 +18,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        F.coalesce(F.size("dropped_lines__"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.array_join("dropped_lines__", ","), F.lit("")).alias("dropped"),
+        F.length("text").cast("long").alias("kept_chars"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), width=5, percent=80)
 
@@ -64,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op3_pii": op3_pii,
     "op4_language_id": op4_language_id,
+    "op5_line_dedup": op5_line_dedup,
     "op7_ngram_join": op7_ngram_join,
     "op9_packing": op9_packing,
     "op10_sentencepieces": op10_sentencepieces,
