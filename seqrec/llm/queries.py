@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqrec.llm import language, pii
+from seqrec.llm.chat_format import format_conversations, read_back
 from seqrec.llm.line_dedup import dedup_lines
 from seqrec.llm.ngram_join import ngram_jaccard_join
 from seqrec.llm.packing import pack_documents
 from seqrec.llm.topk_search import exact_top_k
+from seqrec.llm.url_filter import filter_urls
 from seqrec.llm.sentencepieces import decode_ids, encode_texts
 
 
@@ -43,6 +45,20 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(turns.unionByName(extra)))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(_table(spark, sf_dir, "documents"))
     joined = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -74,9 +90,11 @@ def op10_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
+    "op2_chat_format": op2_chat_format,
     "op3_pii": op3_pii,
     "op4_language_id": op4_language_id,
     "op5_line_dedup": op5_line_dedup,
+    "op6_url_filter": op6_url_filter,
     "op7_ngram_join": op7_ngram_join,
     "op9_packing": op9_packing,
     "op10_sentencepieces": op10_sentencepieces,
@@ -94,4 +112,50 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_topk_search": OP1_SQL}
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path
+  FROM p
+), r(verdict, rule_host, rule_path) AS (
+  VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM (
+  SELECT h.*, rule_host || rule_path AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS k
+  FROM h LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+) WHERE k = 1
+"""
+
+OP2_SQL = r"""
+WITH t0 AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+), t AS (
+  SELECT *, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')) + 4 AS n,
+         24 + length(role) + length(text) + len(regexp_extract_all(role || text, '<\\*\|')) AS chars,
+         row_number() OVER c AS no
+  FROM t0 WINDOW c AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), u AS (
+  SELECT *, sum(n) OVER c - n AS start, 2 * sum(CASE WHEN n > 896 THEN 1 ELSE 0 END) OVER c - CASE WHEN n > 896 THEN 1 ELSE 0 END AS cuts,
+         first_value(role) OVER c AS role1, first_value(chars) OVER c AS chars1
+  FROM t WINDOW c AS (PARTITION BY conv_id ORDER BY no)
+), v AS (
+  SELECT *, no = 1 OR lag(cuts) OVER c <> cuts OR lag(start // 896) OVER c <> start // 896 AS fresh FROM u WINDOW c AS (PARTITION BY conv_id ORDER BY no)
+), h AS (
+  SELECT a.conv_id, a.no, sum(b.chars) AS chars FROM v a JOIN v b ON a.fresh AND a.conv_id = b.conv_id AND b.no < a.no AND b.no >= a.no - 8
+    AND a.start - b.start <= 256 AND NOT (b.no = 1 AND b.role = 'system') GROUP BY ALL
+), w AS (
+  SELECT v.*, CASE WHEN fresh THEN coalesce(h.chars, 0) + CASE WHEN v.no > 1 AND role1 = 'system' THEN chars1 ELSE 0 END ELSE 0 END AS again
+  FROM v LEFT JOIN h ON v.conv_id = h.conv_id AND v.no = h.no
+), g AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY no)) AS turns_sha256,
+         coalesce(string_agg(text, '' ORDER BY no) FILTER (WHERE role = 'assistant'), '') AS loss, CAST(sum(chars + again) AS BIGINT) AS formatted_chars
+  FROM w GROUP BY conv_id
+)
+SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op6_url_filter": OP6_SQL, "op1_topk_search": OP1_SQL}
