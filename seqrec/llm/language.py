@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from seqrec.llm.textbuf import slices
 
@@ -233,6 +234,25 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.mapInArrow(_identify(shared), "doc_id long, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
 
 
+def identify_beside(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with the columns lang_pred__ and score__; rows stay where they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    inner = _identify(shared)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(place)], names=["doc_id", "text"])
+            at = 0
+            for part in inner(iter([pair])):
+                rows = batch.slice(at, part.num_rows)
+                at += part.num_rows
+                yield pa.RecordBatch.from_arrays([*rows.columns, part.column(1), part.column(2)], names=[*rows.schema.names, "lang_pred__", "score__"])
+
+    schema = StructType([*docs.schema.fields, StructField("lang_pred__", StringType()), StructField("score__", DoubleType())])
+    return docs.mapInArrow(run, schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, mod 4, is 2. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
