@@ -8,10 +8,10 @@ such a shingle in common. Inside a tile, sizes, the shingle's positions and then
 two 512-bit parity bitmaps (|A xor B| >= bits set in bitmap A xor bitmap B) bound the overlap from
 above; what is left is verified by an exact intersection of sorted arrays.
 
-Scale: equal sets are one node. Tiles are first linked as chains (each set with its predecessor by
-size), the chains' best edges are verified and their components found; then only pairs between
-different components are listed, so a group of m near copies costs O(m), not O(m^2). No pair is
-capped or sampled: every pair that passes the bounds is either inside a component or verified.
+Scale: equal sets are one node. In each tile a set first meets three neighbours by size and the
+tile's least id; its two closest by bit counts are verified and components found; then only pairs
+between different components are listed, each in the first tile they share in a row, so a group of
+m near copies costs O(m) rows in practice. No pair is capped or sampled: every pair that passes the bounds is either inside a component or verified.
 
 Defined results: a null or word-less text has n_shingles 0 and is linked with nothing. A text with
 fewer words than ``width`` has one shingle, the whole sequence. Rows that repeat a doc_id are one
@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from seqrec.llm.common import by_ids, connected_components, discard, materialise
+from seqrec.llm.common import by_ids, connected_components, materialise
 from seqrec.llm.textbuf import mix, shingle_sets
 
 #: Counters of the frequency sketch. Its size is fixed, so the broadcast is 4 MB whatever the input.
@@ -114,7 +114,7 @@ def _postings(width: int, percent: int, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         for batch in batches:
-            tokens, ids, sizes, places = [], [], [], []
+            tokens, ids, places, befores = [], [], [], []
             for doc, h in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width)):
                 n = len(h)
                 if not n:
@@ -122,13 +122,15 @@ def _postings(width: int, percent: int, levels):
                 rank = level[(h & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
                 first = n - -(-percent * n // 100) + 1
                 order = np.argsort(rank, kind="stable")[:first]
-                order = order[rank[order] > 0] if (rank[order] == 0).any() else order
-                tokens.append(h[order].view(np.int64))
-                ids.append(np.full(len(order), doc, np.int64))
-                sizes.append(np.full(len(order), n, np.int32))
-                places.append(np.arange(first - len(order), first, dtype=np.int32))
+                token = h[order].view(np.int64)
+                before = np.concatenate([[0], token[:-1]])
+                alone = int(np.searchsorted(rank[order], 0, side="right"))  # no other document has these
+                tokens.append(token[alone:])
+                befores.append(before[alone:])
+                ids.append(np.full(first - alone, doc, np.int64))
+                places.append((np.int64(n) << 32) + np.arange(alone, first))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, ids, sizes, places)], names=["token", "id", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, ids, places, befores)], names=["token", "id", "place", "before"])
 
     return run
 
@@ -146,8 +148,10 @@ def _verifier(width: int, percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b, ok) of ``pairs`` (a, b), from the sets of both texts."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = materialise(by_ids(docs.select("doc_id", "text"), materialise(ids, "tested-ids"), "doc_id"), "texts").withColumnRenamed("doc_id", "id")
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
@@ -170,34 +174,40 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     copies = rows.where("doc_id is not null").select("doc_id").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_anti").distinct()
     distinct_docs = by_ids(docs.where("doc_id is not null and text is not null"), materialise(copies, "copies"), "doc_id", "left_anti")
 
-    postings = distinct_docs.mapInArrow(_postings(width, percent, levels), "token long, id long, n int, pos int")
-    tile = Window.partitionBy("token").orderBy("n", "id")
-    shared = postings.select("*", F.lag("id").over(tile).alias("prev"), F.lag("n").over(tile).alias("prev_n"), F.lead("id").over(tile).alias("next"))
-    shared = materialise(shared.where("prev is not null or next is not null").drop("next"), "shared")
-
-    # chains: each set's predecessor by size in most of its tiles
-    chain = shared.where(f"prev <> id and 100 * prev_n >= {percent} * n").groupBy("id", "prev").agg(F.count("*").alias("c"))
-    chain = chain.groupBy("id").agg(F.max_by("prev", F.struct("c", -F.col("prev"))).alias("a")).select("a", F.col("id").alias("b"))
-    involved = materialise(shared.select("id").distinct(), "involved")
-    texts = materialise(by_ids(distinct_docs.select(F.col("doc_id").alias("id"), "text"), involved, "id"), "texts")
-    first = _verified(chain, texts, width, percent).where("ok").select("a", "b")
+    # place: the set's size (high 32 bits) and the shingle's position in the common order (low 32)
+    postings = distinct_docs.mapInArrow(_postings(width, percent, levels), "token long, id long, place long, before long")
+    tile = Window.partitionBy("token").orderBy(F.shiftright("place", 32), "id")
+    shared = postings.select("*", F.lag("id").over(tile).alias("prev"), F.lead("id").over(tile).alias("next"))
+    shared = materialise(shared.where("prev is not null or next is not null").select("token", "id", F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"), "before"), "shared")
+    sig_a = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), *(F.col(b).alias(f"a{b}") for b in _SIG))
+    sig_b = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), *(F.col(b).alias(f"b{b}") for b in _SIG))
+
+    # a few neighbours by size and one common partner in each tile; each set tests its best two
+    tile, every = Window.partitionBy("token").orderBy("n", "id"), Window.partitionBy("token")
+    near = F.array(*(F.lag("id", k).over(tile) for k in (1, 2, 3)), F.min("id").over(every))
+    edges = shared.select(F.col("id").alias("b"), near.alias("near")).select("b", F.explode(F.array_distinct("near")).alias("a")).where("a is not null and a <> b").distinct()
+    edges = edges.join(sig_a, "a").join(sig_b, "b").withColumn("apart", F.expr(" + ".join(f"bit_count(a{b} ^ b{b})" for b in _SIG)))
+    edges = edges.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and (na + nb - apart) / 2 >= ceil({percent} * (na + nb) / cast({100 + percent} as double))")
+    order = F.row_number().over(Window.partitionBy("b").orderBy("apart", "a"))
+    edges = edges.select("a", "b", order.alias("k")).where("k <= 2")
+    first = _verified(materialise(edges, "edges"), distinct_docs, width, percent).where("ok").select("a", "b")
     same = rows.where("n > 0 and doc_id is not null").join(reps.select("k1", "k2", "id"), ["k1", "k2"]).groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.collect_set("id").alias("all")).where("a <> b").select("a", F.explode("all").alias("b")).where("a <> b")
-    links = materialise(first.unionByName(same).distinct(), "links")
+    links = materialise(first.unionByName(same), "links")
     labels = materialise(connected_components(links), "labels")
 
     # tiles that hold more than one component
-    named = shared.select("token", "id", "n", "pos").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    named = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     mixed = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
     rest = named.join(mixed, "token", "left_semi").join(reps.select("id", "n", *_SIG), ["id", "n"])
     rest = materialise(rest.withColumn("band", F.floor(F.log("n") / F.lit(float(np.log(100 / percent)) + 1e-9)).cast("int")), "tiles")
-    x, y = rest.alias("x"), rest.alias("y")
-    x = rest.select(*(F.col(c).alias(f"x_{c}") for c in ("id", "n", "pos", "c", *_SIG)), "token", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    y = rest.select(*(F.col(c).alias(f"y_{c}") for c in ("id", "n", "pos", "c", *_SIG)), "token", "band")
+    x = rest.select(*(F.col(c).alias(f"x_{c}") for c in ("id", "n", "pos", "before", "c", *_SIG)), "token", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    y = rest.select(*(F.col(c).alias(f"y_{c}") for c in ("id", "n", "pos", "before", "c", *_SIG)), "token", "band")
     need = f"ceil({percent} * (x_n + y_n) / cast({100 + percent} as double))"
     apart = " + ".join(f"bit_count(x_{b} ^ y_{b})" for b in _SIG)
+    # a pair with the same shingle before this one meets in that shingle's tile too, and not here
     pairs = x.join(y, ["token", "band"]).where(
-        f"x_c <> y_c and (x_n < y_n or x_n = y_n and x_id < y_id) and 100 * x_n >= {percent} * y_n "
-        f"and 1 + least(x_n - x_pos, y_n - y_pos) - 1 >= {need} and (x_n + y_n - ({apart})) / 2 >= {need}"
+        f"x_c <> y_c and (x_n < y_n or x_n = y_n and x_id < y_id) and 100 * x_n >= {percent} * y_n and (x_before <> y_before or x_pos = 0 or y_pos = 0) "
+        f"and least(x_n - x_pos, y_n - y_pos) >= {need} and (x_n + y_n - ({apart})) / 2 >= {need}"
     )
     pairs = materialise(pairs.groupBy(F.col("x_id").alias("a"), F.col("y_id").alias("b")).agg(F.min(F.expr(apart)).alias("apart")), "pairs")
 
@@ -206,17 +216,15 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         now = pairs
         if best:  # one edge for each set connects most of what belongs together
             now = pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
-        tested = materialise(_verified(now, texts, width, percent), "tested")
-        more = materialise(links.unionByName(tested.where("ok").select("a", "b")).distinct(), "links")
-        labels = materialise(connected_components(more), "labels")
-        left = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti") if best else None
-        links = more
-        if left is None:
+        tested = materialise(_verified(now, distinct_docs, width, percent), "tested")
+        links = links.unionByName(tested.where("ok").select("a", "b"))
+        labels = materialise(connected_components(links), "labels")
+        if not best:
             break
+        left = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         la, lb = labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        left = materialise(left.join(la, "a", "left").join(lb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "apart"), "pairs")
-        discard(pairs)
-        pairs, best = left, False
+        pairs = materialise(left.join(la, "a", "left").join(lb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "apart"), "pairs")
+        best = False
 
     rep = reps.join(labels.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", "copies", F.coalesce("component", "id").alias("component"))
     out = rows.join(rep, ["k1", "k2"], "left")
