@@ -89,6 +89,8 @@ KEYS = {
     "card": ("card", "card:", "visa", "cc", "cc:", "credit"),
     "tel": ("tel", "tel:", "phone", "phone:", "call", "fax", "fax:", "mobile"),
 }
+#: A spelled address without brackets must end in one of these: fixed values.
+TOP_LEVEL = frozenset("biz ca ch co com de edu es eu fr gov info io it jp net nl org ru uk us".split())
 _KEY = {w: k for k, ws in KEYS.items() for w in ws}
 _SIZES = (1, 2, 3, 4, 6, 9, 11, 15, 19, 999)
 _FORMS = ("num", "dash", "paren", "dots", "defang", "slash", "mixed")
@@ -328,7 +330,7 @@ def _valid(kind: int, text: str) -> tuple[int, int] | None:
     lo, hi = 0, len(text)
     if kind == 0:
         m = re.search(r"[A-Za-z0-9._%+-]+\s*[\[({<]?\s*\b(?:at|AT)\b\s*[\])}>]?\s*[A-Za-z0-9-]+(?:\s*[\[({<]?\s*\b(?:dot|DOT)\b\s*[\])}>]?\s*[A-Za-z0-9-]+)+", text)
-        return m.span() if m else None
+        return m.span() if m and (m.group().rsplit(None, 1)[-1].lower() in TOP_LEVEL or re.search(r"[\[({<]", m.group())) else None
     while lo < hi and text[lo] not in "0123456789(":
         lo += 1
     while hi > lo and not text[hi - 1].isdigit():

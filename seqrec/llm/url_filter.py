@@ -85,7 +85,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFram
     edges = materialise(link_edges(base), "url-edges")
     if edges.isEmpty():
         return judged.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"))
-    node = lambda h, p: F.concat(h, F.when(F.startswith(p, F.lit("/")), p).otherwise(F.concat(F.lit("/"), p)))
+    node = lambda h, p: F.concat(h, F.when(F.startswith(p, F.lit("/")), F.lit("")).otherwise(F.lit("/")), p)
     parts = materialise(connected_components(edges.select(node("host", "path").alias("a"), node("to_host", "to_path").alias("b"))), "url-parts")
     at = F.instr("node", F.lit("/"))
     named = with_rules(parts.select("node", "component", F.substr("node", F.lit(1), at - 1).alias("host"), F.substr("node", at).alias("path")), rules)
