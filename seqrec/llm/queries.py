@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqrec.llm import language, pii
+from seqrec.llm import language, media, pii
 from seqrec.llm.chat_format import format_conversations, read_back
 from seqrec.llm.line_dedup import dedup_lines
 from seqrec.llm.ngram_join import ngram_jaccard_join
@@ -72,6 +72,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest_media(media.store_texts(_table(spark, sf_dir, "documents")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), window=2048, end_id=1)
 
@@ -102,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_ngram_join": op7_ngram_join,
+    "op8_media": op8_media,
     "op9_packing": op9_packing,
     "op10_sentencepieces": op10_sentencepieces,
     "pipeline": pipeline,

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from seqrec.llm import chat_format, language, line_dedup, ngram_join, packing, pii, queries, sentencepieces, topk_search, url_filter
+from seqrec.llm import chat_format, language, line_dedup, media, ngram_join, packing, pii, queries, sentencepieces, topk_search, url_filter
 from seqrec.llm.common import connected_components
 
 DIR = "/root/testdata/sf0.001"
@@ -300,3 +300,34 @@ def test_sql(spark, name):
     columns = sorted(got.columns)
     assert columns == sorted(names)
     assert sorted(repr([r[c] for c in columns]) for r in got.collect()) == sorted(repr([r[names.index(c)] for c in columns]) for r in want.fetchall())
+
+
+def test_media_container():
+    for n in (1, 15, 16, 17, 33, 48):
+        body = bytes(random.Random(n).randrange(256) for _ in range(192 * n))
+        data = media.write_container(body)
+        (t,) = media.tracks(data)
+        assert media.payload(data, t) == body and (t.codec, t.duration, len(t.offsets)) == ("raw ", n, n)
+        assert [data[a : a + k] for a, k in t.key_ranges()] == [body[192 * f : 192 * f + 192] for f in range(0, n, 16)]
+    for cut in range(0, len(data), 97):
+        try:
+            assert not media.tracks(data[:cut])  # nothing, or an error, but no crash
+        except ValueError:
+            pass
+    free = media._box(b"free", b"x" * 5)
+    large = b"\0\0\0\1wide" + (21).to_bytes(8, "big") + b"12345"
+    assert len(media.tracks(data + free + large + b"\0\0\0\0skip..")) == 1
+
+
+def test_media(spark):
+    texts = [(1, "é" * 100), (2, None), (3, ""), (4, "a" * 192), (5, "b" * 200_000), (6, "é" * 100)]
+    stored = media.store_texts(docs(spark, texts).withColumn("media", F.lit(1)))
+    got = {r.doc_id: r for r in media.digest_media(stored).collect()}
+    for i, t in texts:
+        raw = (t or "").encode()
+        p = raw + b" " * (-len(raw) % 192) if raw else b" " * 192
+        assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+    assert got[1].media_sha256 == got[6].media_sha256 and got[2].feature == got[3].feature
+    rows = stored.select("doc_id", "media").unionByName(spark.createDataFrame([(7, None), (8, b"junk")], "doc_id long, media binary"))
+    index = {r.doc_id: r for r in media.index_media(rows).collect()}
+    assert index[4].codec == "raw " and index[4].n_samples == 1 and index[7].status == index[8].status == "invalid"
