@@ -170,4 +170,25 @@ WITH t0 AS (
 SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op6_url_filter": OP6_SQL, "op1_topk_search": OP1_SQL}
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w
+), k AS (
+  SELECT doc_id, s, len(s) AS n, min(doc_id) OVER (PARTITION BY s) AS first, count(*) OVER (PARTITION BY s) AS copies FROM s
+), r AS (
+  SELECT doc_id, n, unnest(s) AS g FROM k WHERE n > 0 AND doc_id = first
+), l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), reach(a, b) AS (
+  SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a
+), c AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE least(first, coalesce(low, first)) END AS component_id, CAST(CASE WHEN n = 0 THEN 1 ELSE copies END AS BIGINT) AS n_equal
+FROM k LEFT JOIN c ON n > 0 AND c.a = first
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_ngram_join": OP7_SQL, "op2_chat_format": OP2_SQL, "op6_url_filter": OP6_SQL, "op1_topk_search": OP1_SQL}
