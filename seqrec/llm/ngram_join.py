@@ -184,8 +184,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # a few neighbours by size and one common partner in each tile; each set tests its best two
     tile, every = Window.partitionBy("token").orderBy("n", "id"), Window.partitionBy("token")
-    near = F.array(*(F.lag("id", k).over(tile) for k in (1, 2, 3)), F.min("id").over(every))
-    edges = shared.select(F.col("id").alias("b"), near.alias("near")).select("b", F.explode(F.array_distinct("near")).alias("a")).where("a is not null and a <> b").distinct()
+    own = F.struct("id", "n")
+    near = F.array(*(F.lag(own, k).over(tile) for k in (1, 2, 3)), F.min(own).over(every))
+    edges = shared.select("id", "n", near.alias("near")).select("id", "n", F.explode("near").alias("x"))
+    edges = edges.where(f"x.id <> id and 100 * least(n, x.n) >= {percent} * greatest(n, x.n)").select(F.col("x.id").alias("a"), F.col("id").alias("b")).distinct()
     edges = edges.join(sig_a, "a").join(sig_b, "b").withColumn("apart", F.expr(" + ".join(f"bit_count(a{b} ^ b{b})" for b in _SIG)))
     edges = edges.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and (na + nb - apart) / 2 >= ceil({percent} * (na + nb) / cast({100 + percent} as double))")
     order = F.row_number().over(Window.partitionBy("b").orderBy("apart", "a"))
