@@ -30,7 +30,7 @@ from seqrec.llm.textbuf import blank_words, gather, slices
 BLANK = "\u2581"
 #: Stands for a U+2581 of the text; a lone surrogate, which no valid text holds.
 LITERAL = "\ud800"
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 250_000
 
 
 class Vocabulary:
@@ -256,7 +256,7 @@ def _encode_column(path: str):
         enc = _encoder(path)
         for batch in batches:
             texts, docs = batch.column(1), batch.column(0)
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, 2 << 20):
                 part = texts.slice(lo, hi - lo)
                 ids, off = enc.encode_column(part)
                 lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.view(np.int32)), mask=part.is_null())
