@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from seqrec.config import ClusterConfig
 from seqrec.errors import DuplicateCode, DuplicateItem, InvalidCodec, UnknownCode, UnknownItem
 
-#: Nodes with more items than this are clustered by the distributed k-means.
+#: Levels whose nodes may hold more items than this are clustered where their rows lie; the method is the same.
 LOCAL_ITEMS = 50_000
 
 
@@ -23,43 +25,90 @@ def codes_from_order(items: DataFrame, cfg: ClusterConfig) -> DataFrame:
     return items.select("item_id", place.alias("place")).select("item_id", F.array(*(d.cast("int") for d in digits)).alias("semantic_id"))
 
 
-def _lloyd(x: np.ndarray, k: int, cfg: ClusterConfig) -> tuple[np.ndarray, np.ndarray]:
-    """(centres, labels) of the best of several seeded runs."""
-    best = None
-    for run in range(cfg.restarts):
-        rng = np.random.default_rng(cfg.seed + run)
-        centres = x[rng.choice(len(x), 1)]
-        while len(centres) < k:  # k-means++ seeding
-            d = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).min(axis=1)
-            if d.sum() == 0:
-                break
-            centres = np.vstack([centres, x[rng.choice(len(x), p=d / d.sum())]])
-        for _ in range(cfg.iterations):
-            d = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
-            labels = d.argmin(axis=1)
-            moved = np.array([x[labels == c].mean(axis=0) if (labels == c).any() else centres[c] for c in range(len(centres))])
-            if np.allclose(moved, centres, atol=1e-9):
-                break
-            centres = moved
-        cost = d.min(axis=1).sum()
-        if best is None or cost < best[0] - 1e-12:
-            best = (cost, centres, labels)
-    return best[1], best[2]
+def _uniform(ids: np.ndarray, seed: int, step: int) -> np.ndarray:
+    """A number in (0, 1) by item, seed and step, wherever the item lies."""
+    with np.errstate(over="ignore"):
+        z = ids.astype(np.int64).view(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + step * 0xD1342543DE82EF95) & (2**64 - 1))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    return (((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray | list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(label, squared distance) of the nearest centre; the distance is taken anew, so that equal vectors have 0."""
+    c = np.asarray(centres)
+    label = ((c * c).sum(axis=1) / 2 - x @ c.T).argmin(axis=1)
+    off = x - c[label]
+    return label, np.einsum("ij,ij->i", off, off)
+
+
+def _draw(ids: np.ndarray, x: np.ndarray, centres: list[np.ndarray], seed: int) -> tuple[float, int, np.ndarray] | None:
+    """The next centre of k-means++ as (race, item_id, vector): the least of exponential numbers with
+    the squared distances as rates is drawn with odds in proportion to them. None if no vector is left."""
+    d = _nearest(x, centres)[1] if centres else np.ones(len(x))
+    with np.errstate(divide="ignore"):
+        race = -np.log(_uniform(ids, seed, len(centres))) / d
+    i = race.argmin()
+    return (float(race[i]), int(ids[i]), x[i]) if np.isfinite(race[i]) else None
+
+
+def _moments(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(rows, vector sum) of each cluster and the sum of squared distances."""
+    label, d = _nearest(x, centres)
+    return np.bincount(label, minlength=len(centres)), (label == np.arange(len(centres))[:, None]).astype(np.float64) @ x, float(d.sum())
+
+
+def _lloyd(clusters: dict[int, int], draw, moments, cfg: ClusterConfig) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By node: (centres, rows of each) of the best of several seeded runs, each over its node's rows alone.
+
+    clusters: the number of clusters of each node. ``draw`` and ``moments`` take centres by (node,
+    run) and answer by the same keys, so the runs are the same whether rows lie here or are dealt out."""
+    centres = {(node, run): [] for node in clusters for run in range(cfg.restarts)}
+    going = centres
+    while going:  # k-means++ seeding
+        drawn = draw(going)
+        for key, x in drawn.items():
+            centres[key].append(x)
+        going = {key: centres[key] for key in drawn if len(centres[key]) < clusters[key[0]]}
+    centres = {key: np.array(c) for key, c in centres.items()}
+    going = centres
+    for _ in range(cfg.iterations):
+        still = {}
+        for key, (n, total, _) in (moments(going) if going else {}).items():
+            moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres[key])
+            if not np.allclose(moved, centres[key], atol=1e-9):
+                still[key] = moved
+        centres |= still
+        going = still
+    best: dict[int, tuple[float, int, np.ndarray]] = {}
+    for (node, run), (n, _, cost) in sorted((moments(centres) if centres else {}).items(), key=lambda x: x[0]):
+        if node not in best or cost < best[node][0] * (1 - 1e-9):
+            best[node] = (cost, run, n)
+    return {node: (centres[node, run], n) for node, (_, run, n) in best.items()}
+
+
+def _ranks(centres: np.ndarray) -> np.ndarray:
+    """The place of each centre in the order of the centres."""
+    rank = np.empty(len(centres), np.int64)
+    rank[np.lexsort(centres.T[::-1])] = np.arange(len(centres))
+    return rank
 
 
 def _balanced(ids: np.ndarray, x: np.ndarray, children: int, capacity: int, cfg: ClusterConfig) -> np.ndarray:
     """Child tokens: items in the order of their centre, distance to it and id, cut into full chunks."""
     order = np.lexsort((ids,))
-    k = min(children, len(np.unique(x, axis=0)))
-    if k > 1:
-        # clusters are at most a node's children, so the distances fit a block
-        centres, labels = _lloyd(x, k, cfg) if len(x) * k * x.shape[1] <= 2e8 else _lloyd(x, k, ClusterConfig(cfg.depth, cfg.branching, cfg.seed, 1, 10))
-        rank = np.empty(len(centres), np.int64)
-        rank[np.lexsort(centres.T[::-1])] = np.arange(len(centres))
-        far = np.sqrt(((x - centres[labels]) ** 2).sum(axis=1))
-        order = np.lexsort((ids, far, rank[labels]))
-    token = np.empty(len(ids), np.int64)
-    token[order] = np.arange(len(ids)) // capacity
+    if children > 1:
+        ids, x = ids[order], x[order]
+
+        def draw(going):
+            found = {key: _draw(ids, x, c, cfg.seed + key[1]) for key, c in going.items()}
+            return {key: f[2] for key, f in found.items() if f}
+
+        centres, _ = _lloyd({0: children}, draw, lambda going: {key: _moments(x, c) for key, c in going.items()}, cfg)[0]
+        label, d = _nearest(x, centres)
+        order = order[np.lexsort((ids, np.sqrt(d), _ranks(centres)[label]))]
+    token = np.empty(len(order), np.int64)
+    token[order] = np.arange(len(order)) // capacity
     return token
 
 
@@ -78,7 +127,8 @@ def codes_from_clusters(embeddings: DataFrame, cfg: ClusterConfig) -> DataFrame:
 
     Nodes are packed full, so every subtree keeps to its capacity. The last level has one item to a
     child and is an order by vector. Nodes up to LOCAL_ITEMS are clustered in NumPy by groups of
-    their prefix; larger ones by the distributed k-means.
+    their prefix; larger ones by the same k-means over rows that stay dealt out. Draws go by item id,
+    so that both give the same codes, but for the rounding of sums.
     """
     n = embeddings.count()
     if n == 0:
@@ -99,23 +149,99 @@ def codes_from_clusters(embeddings: DataFrame, cfg: ClusterConfig) -> DataFrame:
             rows = rows.withColumn("semantic_id", F.concat("semantic_id", F.array((F.row_number().over(order) - 1).cast("int"))))
             continue
         if most > LOCAL_ITEMS:
-            rows = _split_large(rows, capacity, most, cfg)
+            rows = _split_large(rows, capacity, cfg)
             continue
 
         rows = rows.groupBy("semantic_id").applyInPandas(_splitter(capacity, cfg), rows.schema)
     return rows.select("item_id", "semantic_id")
 
 
-def _split_large(rows: DataFrame, capacity: int, most: int, cfg: ClusterConfig) -> DataFrame:
-    """One level for large nodes: distributed k-means, then the same order and chunks by windows."""
-    model = KMeans(k=math.ceil(most / capacity), seed=cfg.seed, maxIter=20, featuresCol="v", predictionCol="c").fit(rows.select(array_to_vector("embedding").alias("v")))
-    centres = [list(map(float, c)) for c in model.clusterCenters()]
-    table = F.array(*(F.array(*(F.lit(v) for v in c)) for c in centres))
-    rows = model.transform(rows.withColumn("v", array_to_vector("embedding"))).withColumn("centre", table[F.col("c")])
-    far = F.sqrt(F.aggregate(F.zip_with("embedding", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
-    order = Window.partitionBy("semantic_id").orderBy("centre", "far", "item_id")
-    token = F.floor((F.row_number().over(order) - 1) / capacity).cast("int")
-    return rows.withColumn("far", far).select("item_id", "embedding", F.concat("semantic_id", F.array(token)).alias("semantic_id"))
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(node, rows, item ids, vectors) of each node in each batch of (item_id, embedding, node)."""
+    for batch in batches:
+        if batch.num_rows:
+            ids, node = batch.column("item_id").to_numpy(), batch.column("node").to_numpy()
+            x = batch.column("embedding").flatten().to_numpy().astype(np.float64, copy=False).reshape(batch.num_rows, -1)
+            for k in np.unique(node):
+                at = np.flatnonzero(node == k)
+                yield int(k), at, ids[at], x[at]
+
+
+def _split_large(rows: DataFrame, capacity: int, cfg: ClusterConfig) -> DataFrame:
+    """One level for large nodes, as _balanced does it: each node has its own centres, and every pass
+    over the rows serves all runs of all nodes. Only centres and sums come to the driver."""
+    node = F.aggregate("semantic_id", F.lit(0).cast("long"), lambda a, t: a * cfg.branching + t)
+    rows = rows.withColumn("node", node)
+    held = rows.select("item_id", "embedding", "node").persist()
+    clusters = {r["node"]: k for r in held.groupBy("node").count().collect() if (k := math.ceil(r["count"] / capacity)) > 1}
+    dim = held.select(F.size("embedding").alias("n")).first()["n"]
+
+    def by_node(going: dict) -> dict:
+        out: dict = {}
+        for (k, run), c in going.items():
+            out.setdefault(k, []).append((run, c))
+        return out
+
+    def draw(going: dict) -> dict:
+        asked, seed = by_node(going), cfg.seed
+
+        def run_(batches):
+            best: dict = {}
+            for k, _, ids, x in _parts(batches):
+                for run, c in asked.get(k, ()):
+                    if (f := _draw(ids, x, c, seed + run)) and ((k, run) not in best or f[:2] < best[k, run][:2]):
+                        best[k, run] = f
+            table = [(k, run, race, i, x.tolist()) for (k, run), (race, i, x) in best.items()]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in table], schema=schema)
+
+        schema = pa.schema([("node", pa.int64()), ("run", pa.int32()), ("race", pa.float64()), ("item_id", pa.int64()), ("x", pa.list_(pa.float64()))])
+        found = held.mapInArrow(run_, "node long, run int, race double, item_id long, x array<double>")
+        found = found.groupBy("node", "run").agg(F.min_by("x", F.struct("race", "item_id")).alias("x"))
+        return {(r["node"], r["run"]): np.array(r["x"]) for r in found.collect()}
+
+    def moments(going: dict) -> dict:
+        asked = by_node(going)
+
+        def run_(batches):
+            sums: dict = {}
+            for k, _, _, x in _parts(batches):
+                for run, c in asked.get(k, ()):
+                    m = _moments(x, c)
+                    sums[k, run] = tuple(a + b for a, b in zip(sums[k, run], m)) if (k, run) in sums else m
+            table = [(k, run, c, int(n[c]), total[c].tolist(), cost if c == 0 else 0.0) for (k, run), (n, total, cost) in sums.items() for c in range(len(n)) if n[c] or c == 0]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in table], schema=schema)
+
+        schema = pa.schema([("node", pa.int64()), ("run", pa.int32()), ("c", pa.int32()), ("n", pa.int64()), ("total", pa.list_(pa.float64())), ("cost", pa.float64())])
+        found = held.mapInArrow(run_, "node long, run int, c int, n long, total array<double>, cost double")
+        found = found.groupBy("node", "run", "c").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("total")[i]) for i in range(dim))).alias("total"), F.sum("cost").alias("cost"))
+        out = {key: [np.zeros(len(c), np.int64), np.zeros((len(c), dim)), 0.0] for key, c in going.items()}
+        for r in found.collect():
+            m = out[r["node"], r["run"]]
+            m[0][r["c"]], m[1][r["c"]] = r["n"], r["total"]
+            m[2] += r["cost"]
+        return out
+
+    table = {}
+    for k, (centres, n) in _lloyd(clusters, draw, moments, cfg).items():
+        rank = _ranks(centres)
+        before = np.zeros(len(n), np.int64)
+        before[np.argsort(rank)[1:]] = np.cumsum(n[np.argsort(rank)])[:-1]
+        table[k] = (centres, rank, before)
+    held.unpersist()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rank, before, far = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            for k, at, _, x in _parts(iter([batch])):
+                if k in table:
+                    label, d = _nearest(x, table[k][0])
+                    rank[at], before[at], far[at] = table[k][1][label], table[k][2][label], np.sqrt(d)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rank), pa.array(before), pa.array(far)], names=[*batch.schema.names, "rank", "before", "far"])
+
+    schema = StructType([*rows.schema.fields, StructField("rank", LongType()), StructField("before", LongType()), StructField("far", DoubleType())])
+    order = Window.partitionBy("node", "rank").orderBy("far", "item_id")
+    token = F.floor((F.col("before") + F.row_number().over(order) - 1) / capacity).cast("int")
+    return rows.mapInArrow(place, schema).select("item_id", "embedding", F.concat("semantic_id", F.array(token)).alias("semantic_id"))
 
 
 def duplicate_codes(codec: DataFrame) -> DataFrame:

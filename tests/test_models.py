@@ -108,6 +108,19 @@ def test_clusters(spark, same):
         semantic_ids.codes_from_clusters(df, ClusterConfig(1, 2))
 
 
+def test_clusters_are_those_of_each_node_at_every_size(spark, monkeypatch):
+    """Blobs in blobs, 5 levels at branching 3: levels of several nodes give the same codes dealt out as locally."""
+    rng = np.random.default_rng(5)
+    tops = rng.normal(size=(3, 4)) * 50
+    points = [(i, [float(v) for v in tops[i % 3] + rng.normal(size=4) * (1 + i % 2)]) for i in range(200)]
+    df = spark.createDataFrame(points, "item_id long, embedding array<double>").repartition(3)
+    cfg = ClusterConfig(5, 3, restarts=3, iterations=20)
+    codes = lambda: {r.item_id: tuple(r.semantic_id) for r in semantic_ids.codes_from_clusters(df, cfg).collect()}
+    local = codes()
+    monkeypatch.setattr(semantic_ids, "LOCAL_ITEMS", 20)
+    assert codes() == local and len(set(local.values())) == 200
+
+
 def codec(spark, rows):
     return spark.createDataFrame(list(rows.items()), "item_id long, semantic_id array<int>")
 
