@@ -12,8 +12,10 @@ Texts are read where they lie; nothing but the bounded counts is shuffled.
 
 Defined results: a text that is null or has no letters gives ``und`` with score 0 and no spans, as
 do all texts if there is no training text. Letters of scripts that no learned language uses belong
-to no span. Ties go to the language that sorts first. The score is the share of the text's letters
-that lie in spans of the predicted language. Other columns are ignored.
+to no span, unless a text has no other letters: its words are then decoded by trigram scores with
+all languages as candidates, so that it gets a learned language, on little evidence. Ties go to the
+language that sorts first. The score is the share of the text's letters that lie in spans of the
+predicted language. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -130,7 +132,15 @@ class Model:
             return w, out
         score = np.add.reduceat(self.logp[w.cells], w.first, axis=0)
         can = self.allowed[w.script]
-        use = np.flatnonzero(can.any(axis=1))
+        some = self.allowed.any(axis=1)[w.script]
+        if not some.all():
+            lettered = w.n_letters > 0
+            lost = np.zeros(len(texts), bool)  # texts with letters, all of them in scripts without a language
+            lost[w.doc[lettered]] = True
+            lost[w.doc[lettered & some]] = False
+            some |= lost[w.doc]
+            can[lost[w.doc]] = True
+        use = np.flatnonzero(some)
         score = np.where(can[use], score[use], np.float32(-1e6))
         out[use] = _viterbi(score, w.doc[use], self.penalty)
         return w, out

@@ -169,6 +169,21 @@ def test_language(spark):
     assert [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(9)] == [x.h for x in spark.range(9).select(language.held_out("id").alias("h")).collect()]
 
 
+def test_language_of_scripts_without_training(spark):
+    """Letters of scripts that no language was learned in: a learned language; und without letters only."""
+    import corpus_pipeline
+
+    rows = [(i, text * 9, lang) for i, (text, lang) in enumerate([("der die und nicht ein haus ", "xx"), ("the of and water house ", "yy")] * 12)]
+    foreign = [(100, "日本語 の 本", None), (101, "вода и дом", None), (102, "Ελλάδα", None), (103, "ሰላም", None), (104, "123 !?", None), (105, None, None), (106, "\u0301 7", None), (107, "the water вода", None)]
+    df = spark.createDataFrame(rows + foreign, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in language.identify(df, language.fit(df, ~language.held_out())).collect()}
+    assert all(got[i].lang_pred in ("xx", "yy") and got[i].score > 0 and got[i].spans for i in (100, 101, 102, 103))
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 and not got[i].spans for i in (104, 105, 106))
+    assert got[107].lang_pred == "yy" and got[107].score == 8 / 12 and [(s.start, s.end) for s in got[107].spans] == [(0, 9)]
+    kept = corpus_pipeline.language_stage(spark, df, "").collect()
+    assert {x.doc_id for x in kept} == {*range(len(rows)), 100, 101, 102, 103, 107} and all(x.lang in ("xx", "yy") for x in kept)
+
+
 def brute_viterbi(score, penalty):
     best = [(list(score[0]), None)]
     import itertools
