@@ -253,8 +253,8 @@ def decoder_input_shift(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pad_history(spark: SparkSession, d: str) -> DataFrame:
-    rows = generative.encode_histories(_split(spark, d, "train").where("history_length <= 3"), embedding.vocabulary(_known_codec(spark, d)), ["user_id", "target_timestamp"], history=3)
-    out = generative.batches(rows, 4).withColumn("padding_mask", F.transform("padding_mask", lambda x: x.cast("int")))
+    rows = generative.encode_histories(_split(spark, d, "train"), embedding.vocabulary(_known_codec(spark, d)), ["user_id", "target_timestamp"], SPLIT.max_history)
+    out = generative.batches(rows, SPLIT.max_history).withColumn("padding_mask", F.transform("padding_mask", lambda x: x.cast("int")))
     return _text(out.select("user_id", "target_timestamp", "padded_ids", "padded_feedback", "padding_mask"))
 
 

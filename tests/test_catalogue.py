@@ -35,6 +35,21 @@ def test_query(spark, db, name):
     assert rows([r[c] for c in columns] for r in got.collect()) == rows([r[i] for i in order] for r in want.fetchall())
 
 
+def test_pad_history_takes_every_train_row(spark):
+    """All train rows at the length of 50, by hand from the split and the vocabulary."""
+    from seqrec.operators import embedding
+
+    index = {r.item_id: r.item_idx for r in embedding.vocabulary(queries._known_codec(spark, DIR)).collect()}
+    want = []
+    for r in queries._split(spark, DIR, "train").collect():
+        n = len(r.history_item_ids)
+        full = lambda x, pad: ",".join(map(str, [*x, *[pad] * (50 - n)]))
+        want.append((r.user_id, r.target_timestamp, full((index.get(i, 1) for i in r.history_item_ids), 0), full(r.history_feedback_ids, 0), full([0] * n, 1)))
+    assert max(len(r[4].split(",")) for r in want) == 50 and any("1" not in r[4] for r in want)
+    got = queries.QUERIES["pad_history"](spark, DIR).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 2
     assert set(oracles.ORACLE_SQL) <= set(entry.queries())
