@@ -234,12 +234,23 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents whose group holds a smaller doc_id; exact repeats of a row's
-    doc_id collapse to one row. Documents without words or doc_id stay."""
-    joined = materialise(ngram_jaccard_join(docs, width=width, percent=percent), "groups")
-    drop = materialise(joined.where("component_id <> doc_id").select("doc_id").distinct(), "drop")
-    kept = by_ids(docs, drop, "doc_id", "left_anti").select(*docs.columns)
-    twice = materialise(joined.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    """``docs`` without the documents whose group holds a smaller doc_id. Documents without words or
+    doc_id stay.
+
+    Where doc_ids repeat, every row is judged by its own text: one row of each group stays, that of
+    the smallest doc_id, then of the least hash of its text, then of all columns; rows without words
+    collapse under one doc_id."""
+    twice = materialise(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     if twice.isEmpty():
-        return kept
-    return by_ids(kept, twice, "doc_id", "left_anti").select(*docs.columns).unionByName(by_ids(kept, twice, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"]))
+        joined = materialise(ngram_jaccard_join(docs, width=width, percent=percent), "groups")
+        drop = materialise(joined.where("component_id <> doc_id").select("doc_id").distinct(), "drop")
+        return by_ids(docs, drop, "doc_id", "left_anti").select(*docs.columns)
+    content = F.xxhash64(F.to_json(F.struct(*docs.columns)))
+    rows = materialise(docs.withColumns({"row__": F.monotonically_increasing_id(), "rank__": F.struct("doc_id", F.xxhash64("text"), content)}), "rows")
+    named = rows.where("doc_id is not null")
+    joined = ngram_jaccard_join(named, id_col="row__", width=width, percent=percent).withColumnRenamed("doc_id", "row__")
+    joined = joined.join(named.select("row__", "rank__"), "row__").withColumn("empty", F.when(F.col("n_shingles") == 0, F.col("rank__.doc_id")))
+    joined = materialise(joined.withColumn("group", F.when(F.col("empty").isNull(), F.col("component_id"))).select("row__", "rank__", "empty", "group"), "groups")
+    stay = joined.groupBy("empty", "group").agg(F.min_by("row__", F.struct("rank__", "row__")).alias("row__")).select("row__")
+    drop = materialise(joined.select("row__").join(stay, "row__", "left_anti"), "drop")
+    return by_ids(rows, drop, "row__", "left_anti").select(*docs.columns)

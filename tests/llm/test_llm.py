@@ -63,6 +63,16 @@ def test_ngram_join(spark):
     assert kept == [2, 4, 7, 8, 10, 12, 13, 14]
 
 
+def test_one_of_each_with_repeated_ids(spark):
+    """A doc_id with different texts keeps each that is not a copy; the survivor does not depend on the layout."""
+    a, b, c = words(60, 1), words(60, 2), words(60, 3)
+    near = " ".join([*a.split()[:-1], "changed"])
+    texts = [(1, a), (4, near), (4, b), (7, c), (7, c.upper()), (7, c), (8, ""), (8, None), (9, b), (None, a), (None, a)]
+    kept = [[(r.doc_id, r.text) for r in ngram_join.one_of_each(docs(spark, t).repartition(n)).collect()] for t, n in ((texts, 1), (texts[::-1], 3))]
+    assert sorted(map(repr, kept[0])) == sorted(map(repr, kept[1]))
+    assert sorted((i or 0, (t or "").lower()) for i, t in kept[0]) == sorted([(1, a), (4, b), (7, c), (8, ""), (0, a), (0, a)])
+
+
 def test_line_dedup(spark):
     a, b = words(25, 11), words(25, 12)
     near = a[:60] + "q" + a[61:]
