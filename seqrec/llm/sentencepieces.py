@@ -1,7 +1,7 @@
 """Encoding texts into the pieces of a SentencePiece vocabulary and back (operator 10).
 
 Method: streaming Viterbi. The best segmentation is the one whose pieces' scores have the greatest
-sum. Only the positions that a piece can still bridge (a window of the longest piece's length) are
+sum; of a BPE model, whose scores are merge ranks, that is not its own encoder's. Only the positions that a piece can still bridge (a window of the longest piece's length) are
 alive; whenever the backpointers of all live positions meet at one boundary, the ids before it are
 committed and their state is dropped. Where the vocabulary has no piece that joins a character
 with a following blank (checked when it is loaded), every blank is such a boundary, so the ids of
