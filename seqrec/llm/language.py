@@ -8,28 +8,36 @@ labels spans. The predicted language is the one whose spans hold most letters.
 The model is fitted on a sample of labelled texts that is bounded by ``per_language`` documents in
 expectation for each language (hash of the id below a threshold from the counts), so its tables
 have a fixed size: 2^16 trigram cells for each language. Every document is labelled by whole text.
-Texts are read where they lie; nothing but the bounded counts is shuffled.
+Texts are read where they lie; nothing but the bounded counts is shuffled. Texts are scored in
+slices of SLICE bytes and decoded in groups of GROUP slices; a longer one is read in pieces of PIECE characters that end between words, over
+which the Viterbi state is carried, and a piece is settled as soon as all paths into its successor
+leave it in one state, so that memory follows the piece and not the text.
 
 Defined results: a text that is null or has no letters gives ``und`` with score 0 and no spans, as
 do all texts if there is no training text. Letters of scripts that no learned language uses belong
 to no span, unless a text has no other letters: its words are then decoded by trigram scores with
 all languages as candidates, so that it gets a learned language, on little evidence. Ties go to the
 language that sorts first. The score is the share of the text's letters that lie in spans of the
-predicted language. Other columns are ignored.
+predicted language. Other columns are ignored. Rows that repeat an id are labelled one by one. An
+empty table gives an empty result. In a text longer than a slice, a word of more than PIECE
+characters counts as several.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from seqrec.llm.textbuf import slices
+from seqrec.llm.textbuf import release, slices
 
 BITS = 16
+#: Bytes of text that are scored at a time, slices that are decoded together, and characters to a
+#: piece of a text longer than a slice.
+SLICE, GROUP, PIECE = 1 << 18, 8, 1 << 17
 #: Unicode ranges of scripts (first, last code point, name): fixed values.
 SCRIPTS = [
     (0x0041, 0x024F, "latin"), (0x1E00, 0x1EFF, "latin"), (0x2C60, 0x2C7F, "latin"), (0xA720, 0xA7FF, "latin"), (0xFF21, 0xFF5A, "latin"),
@@ -85,7 +93,7 @@ class Words:
         start[begin] = inside[begin]
         end[begin[1:] - 1] = inside[begin[1:] - 1]
         self.start, self.stop = np.flatnonzero(start), np.flatnonzero(end) + 1
-        self.letters = np.concatenate([[0], np.cumsum(letter[cp])])
+        self.letters = np.concatenate([np.zeros(1, np.int32), np.cumsum(letter[cp], dtype=np.int32)])
         at = np.flatnonzero(inside)
         c = lower[cp[at]].astype(np.uint64)
         n = self.stop - self.start
@@ -100,6 +108,21 @@ class Words:
         self.n_letters = self.letters[self.stop] - self.letters[self.start]
 
 
+def pieces(text: str, most: int) -> Iterator[tuple[int, str]]:
+    """(place, piece) of ``text`` in pieces of at most ``most`` characters that end between words."""
+    _, _, part, _ = _tables()
+    at = 0
+    while at < len(text):
+        to = min(len(text), at + most)
+        if to < len(text):
+            cp = np.frombuffer(text[at : to + 1].encode("utf-32-le", "surrogatepass"), np.uint32)
+            outside = np.flatnonzero(~part[np.where(cp < _TOP, cp, 0)])
+            if len(outside) and outside[-1]:
+                to = at + int(outside[-1])
+        yield at, text[at:to]
+        at = to
+
+
 def _count(languages: list[str]):
     place = {v: k for k, v in enumerate(languages)}
 
@@ -107,10 +130,13 @@ def _count(languages: list[str]):
         cells = np.zeros((len(languages), 1 << BITS), np.int64)
         scripts = np.zeros((len(languages), len(SCRIPT_NAMES)), np.int64)
         for batch in batches:
-            for lo, hi in slices(batch.column(0)):
+            for lo, hi in slices(batch.column(0), SLICE):
                 texts, langs = batch.column(0)[lo:hi].to_pylist(), batch.column(1)[lo:hi].to_pylist()
-                for lang in set(langs):
-                    w = Words([t for t, x in zip(texts, langs) if x == lang])
+                parts = [(lang, [t for t, x in zip(texts, langs) if x == lang]) for lang in set(langs)]
+                if hi - lo == 1 and len(texts[0]) > PIECE:
+                    parts = ((langs[0], [t]) for _, t in pieces(texts[0], PIECE))
+                for lang, part in parts:
+                    w = Words(part)
                     cells[place[lang]] += np.bincount(w.cells, minlength=1 << BITS)
                     scripts[place[lang]] += np.bincount(w.script, weights=w.n_letters, minlength=len(SCRIPT_NAMES)).astype(np.int64)
         for table, sign in ((cells, 0), (scripts, -1)):
@@ -120,22 +146,55 @@ def _count(languages: list[str]):
     return run
 
 
+class Found:
+    """What decoding needs of the words of several parts: place, script, letters and text."""
+
+    FIELDS = ("start", "stop", "script", "n_letters", "doc", "ends", "letters")
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.chars = self.rows = 0
+
+    def add(self, w: Words) -> None:
+        base = np.concatenate([[0], w.ends])
+        letters = w.letters[base[1:]] - w.letters[base[:-1]]  # by text
+        self.parts.append((w.start + self.chars, w.stop + self.chars, w.script, w.n_letters, w.doc + self.rows, w.ends + self.chars, letters))
+        self.chars, self.rows = self.chars + int(base[-1]), self.rows + len(w.ends)
+
+    def join(self) -> None:
+        for k, name in enumerate(self.FIELDS):
+            setattr(self, name, np.concatenate([x[k] for x in self.parts]) if self.parts else np.zeros(0, np.int64))
+        self.parts = []
+
+
 class Model:
     def __init__(self, languages: list[str], logp: np.ndarray, allowed: np.ndarray, penalty: float) -> None:
         self.languages, self.logp, self.allowed, self.penalty = languages, logp, allowed, penalty
 
-    def label(self, texts: list[str]) -> tuple[Words, np.ndarray]:
+    def label(self, texts: list[str]) -> tuple[Found, np.ndarray]:
         """The words of ``texts`` and the language index of each, -1 where no language is possible."""
-        w = Words(texts)
+        return self.label_parts([texts])
+
+    def label_parts(self, parts: Iterable[list[str]]) -> tuple[Found, np.ndarray]:
+        """As label(), for texts that are scored one part after the other."""
+        w = Found()
+        scores = []
+        for texts in parts:
+            part = Words(texts)
+            w.add(part)
+            if len(part.start) and len(self.languages):
+                scores.append(np.add.reduceat(self.logp[part.cells], part.first, axis=0))
+        w.join()
         out = np.full(len(w.start), -1, np.int64)
-        if not len(self.languages) or not len(w.start):
+        if not scores:
             return w, out
-        score = np.add.reduceat(self.logp[w.cells], w.first, axis=0)
+        score = np.concatenate(scores)
+        scores.clear()
         can = self.allowed[w.script]
         some = self.allowed.any(axis=1)[w.script]
         if not some.all():
             lettered = w.n_letters > 0
-            lost = np.zeros(len(texts), bool)  # texts with letters, all of them in scripts without a language
+            lost = np.zeros(len(w.ends), bool)  # texts with letters, all of them in scripts without a language
             lost[w.doc[lettered]] = True
             lost[w.doc[lettered & some]] = False
             some |= lost[w.doc]
@@ -145,6 +204,80 @@ class Model:
         out[use] = _viterbi(score, w.doc[use], self.penalty)
         return w, out
 
+    def label_long(self, text: str, most: int = PIECE) -> tuple[np.ndarray, int, list[tuple[int, int, int]]]:
+        """(letters in spans of each language, letters of the text, spans (start, end, language)) of
+        one text, piece by piece; the same as by label()."""
+        k = max(1, len(self.languages))
+        held, letters, spans = np.zeros(k), 0, []
+        if not self.languages:
+            return held, int(sum(Words([t]).letters[-1] for _, t in pieces(text, most))), spans
+        some = self.allowed.any(axis=1)
+        lost = not any((some[w.script] & (w.n_letters > 0)).any() for w in (Words([t]) for _, t in pieces(text, most)))
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def settle(state: int) -> None:
+            for start, stop, n, back in reversed(waiting):
+                out = np.empty(len(back), np.int64)
+                for t in range(len(back) - 1, -1, -1):
+                    out[t] = state
+                    state = back[t, state]
+                done.append((start, stop, n, out))
+            for start, stop, n, out in reversed(done):
+                np.add.at(held, out, n)
+                head = np.flatnonzero(np.concatenate([[True], out[1:] != out[:-1]]))
+                tail = np.append(head[1:], len(out)) - 1
+                for a, b in zip(head.tolist(), tail.tolist()):
+                    if spans and spans[-1][2] == out[a]:
+                        spans[-1] = (spans[-1][0], int(stop[b]), int(out[a]))
+                    else:
+                        spans.append((int(start[a]), int(stop[b]), int(out[a])))
+            waiting.clear()
+            done.clear()
+
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        best = None
+        for place, part in pieces(text, most):
+            w = Words([part])
+            letters += int(w.letters[-1])
+            if not len(w.start):
+                continue
+            score = np.add.reduceat(self.logp[w.cells], w.first, axis=0)
+            if lost:
+                use = np.arange(len(score))
+            else:
+                use = np.flatnonzero(some[w.script])
+                score = np.where(self.allowed[w.script[use]], score[use], np.float32(-1e6))
+            if not len(use):
+                continue
+            back, best = _forward(score.astype(np.float64), best, self.penalty)
+            into = np.arange(k)
+            for t in range(len(back) - 1, -1, -1):
+                into = back[t, into]
+                if (into == into[0]).all():
+                    into = into[:1]
+            if waiting and (into == into[0]).all():
+                settle(int(into[0]))
+            waiting.append((w.start[use] + place, w.stop[use] + place, w.n_letters[use], back))
+        if waiting:
+            settle(int(best.argmax()))
+        return held, letters, spans
+
+
+def _forward(score: np.ndarray, best: np.ndarray | None, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """(state before each word by its state, best scores at the end) after the scores ``best``."""
+    back = np.zeros(score.shape, np.int16)
+    own = np.arange(score.shape[1])
+    for t, row in enumerate(score):
+        if best is None:
+            back[t], best = own, row.copy()
+            continue
+        top = int(best.argmax())
+        jump = best[top] - penalty
+        stay = best >= jump
+        back[t] = np.where(stay, own, top)
+        best = np.where(stay, best, jump) + row
+    return back, best
+
 
 def _viterbi(score: np.ndarray, doc: np.ndarray, penalty: float) -> np.ndarray:
     """Best labels under a penalty for each switch, for the word sequences of all texts at once."""
@@ -200,19 +333,44 @@ def fit(docs: DataFrame, train: Column, per_language: int = 4000, penalty: float
     return Model(languages, logp.astype(np.float32), allowed, penalty)
 
 
+def _groups(column: pa.Array) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """(first row, end, slices) of what is decoded together; no slices for one long text."""
+    held: list[tuple[int, int]] = []
+    for lo, hi in slices(column, SLICE):
+        long = hi - lo == 1 and len(column[lo].as_py() or "") > PIECE
+        if held and (long or len(held) == GROUP):
+            yield held[0][0], held[-1][1], held
+            held = []
+        if long:
+            yield lo, hi, []
+        else:
+            held.append((lo, hi))
+    if held:
+        yield held[0][0], held[-1][1], held
+
+
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
+
+
 def _identify(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            for lo, hi in slices(batch.column(1)):
-                texts = [t or "" for t in batch.column(1)[lo:hi].to_pylist()]
-                w, label = m.label(texts)
+            for lo, hi, parts in _groups(batch.column(1)):
+                part = lambda a, b: [t or "" for t in batch.column(1)[a:b].to_pylist()]  # noqa: E731, B023
+                if not parts:
+                    held, letters, runs = m.label_long(part(lo, hi)[0])
+                    names = m.languages[int(held.argmax())] if held.max() > 0 else "und"
+                    runs = [[{"start": a, "end": b, "lang": m.languages[c]} for a, b, c in runs]]
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([names]), pa.array([held.max() / max(letters, 1)]), pa.array(runs, SPANS)], names=["doc_id", "lang_pred", "score", "spans"])
+                    continue
+                w, label = m.label_parts(part(a, b) for a, b in parts)
                 rows, k = hi - lo, max(1, len(m.languages))
                 got = label >= 0
                 held = np.zeros((rows, k))
                 np.add.at(held, (w.doc[got], label[got]), w.n_letters[got])
                 base = np.concatenate([[0], w.ends])
-                letters = w.letters[base[1:]] - w.letters[base[:-1]]
+                letters = w.letters
                 pred, most = held.argmax(axis=1), held.max(axis=1)
                 names = np.array(m.languages or ["und"], dtype=object)[pred]
                 names[most == 0] = "und"
@@ -233,6 +391,7 @@ def _identify(model):
                     [batch.column(0)[lo:hi], pa.array(names, pa.string()), pa.array(most / np.maximum(letters, 1)), pa.ListArray.from_arrays(pa.array(offsets), spans)],
                     names=["doc_id", "lang_pred", "score", "spans"],
                 )
+        release()
 
     return run
 

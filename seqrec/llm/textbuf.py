@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,15 @@ _MUL = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA
 SLICE = 1 << 20
 
 
+def release() -> None:
+    """Give freed memory back to the system; Python workers outlive their stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -121,7 +131,7 @@ def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def slices(column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of ``column`` with about ``most`` bytes each; a longer text has its own."""
     _, off = buffers(column)
     k, n = 0, len(column)
