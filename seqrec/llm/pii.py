@@ -5,12 +5,13 @@ word-shape features (the class of a token's shape, and those of its neighbours)
 patterns miss: e-mail addresses spelled with "at" and "dot", defanged network addresses, card
 numbers with other separators and phone numbers without a plus sign. It is trained from a small
 labelled table (labelled_rows(), or one that is given) and decoded by Viterbi in numpy batches over
-all runs of a slice of texts. The lattice of a token without digit, "@", bracket or key word, both
-neighbours being such too, holds only the label O, so runs are short and plain text is skipped by
-byte classes alone. A decoded span is kept if what it spells is valid (a well-formed address, parts
+all tokens of a slice of texts, with the full lattice. Texts of more than PIECE tokens are decoded in
+pieces that read CONTEXT further tokens on either side and use the tags of their own tokens only, so
+that one long text is as many rows of a batch. A decoded span is kept if what it spells is valid (a well-formed address, parts
 of at most 255, Luhn's sum, 8 to 15 digits) and it overlaps no base span.
 
-Texts are read where they lie; nothing is shuffled. Memory is bounded by a slice of texts.
+Texts are read where they lie; nothing is shuffled. Memory is bounded by a slice of texts, or by some
+30 bytes for each byte of a longer text. An empty table gives an empty result.
 
 Defined results: null text counts as empty and has no spans; offsets are code points, end exclusive;
 rows that repeat are treated alike; other columns are ignored, and redact() keeps them.
@@ -28,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from seqrec.llm.textbuf import buffers, slices
+from seqrec.llm.textbuf import buffers, release, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
@@ -277,10 +278,10 @@ class ChainField:
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
-_ODD = np.zeros(256, np.uint8)
-_ODD[[ord(c) for c in "0123456789@[](){}<>"]] = 1
-_LOW = np.arange(256, dtype=np.uint64)
-_LOW[65:91] += 32
+_LETTER = np.zeros(256, np.uint8)
+_LETTER[97:123] = 1
+#: Tokens to a piece, and tokens read on either side of it.
+PIECE, CONTEXT = 512, 32
 
 
 def _packed(word: str) -> int:
@@ -288,14 +289,11 @@ def _packed(word: str) -> int:
 
 
 _KEY_CODES = np.sort(np.array([_packed(w) for w in _KEY if len(w) <= 8], np.uint64))
-_TRIM = b".,;!?"
+_LONG_KEYS = max(map(len, _KEY))
 
 
-def _runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (bytes) of the tokens whose lattice has more than O, and which begin a run.
-
-    A run also ends with its text; ``ends``: where texts end.
-    """
+def _tokens(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of the tokens of texts that end at ``ends``."""
     solid = ~_SPACES[data]
     start, stop = solid.copy(), solid.copy()
     start[1:] &= ~solid[:-1]
@@ -303,26 +301,61 @@ def _runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     cut = ends[(ends > 0) & (ends < len(data))]
     start[cut] = solid[cut]
     stop[cut - 1] = solid[cut - 1]
-    s, t = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    if not len(s):
-        return s, t, np.zeros(0, bool)
-    odd = np.maximum.reduceat(_ODD[data], s) > 0
+    return np.flatnonzero(start), np.flatnonzero(stop) + 1
+
+
+def _classes(data: np.ndarray, s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """shape() of every token; words of a-z that are no key word are told by their bytes."""
+    out = np.full(len(s), _CLASS["lower"], np.int64)
     n = t - s
-    core = n - np.isin(data[t - 1], np.frombuffer(_TRIM, np.uint8))
-    short = np.flatnonzero(~odd & (core >= 2) & (core <= 8))
+    # the bytes up to the next token hold no further letters
+    whole = np.add.reduceat(_LETTER[data], s, dtype=np.int64) == n
+    ask = ~whole | ((n > 8) & (n <= _LONG_KEYS))
+    short = np.flatnonzero(whole & (n <= 8))
     code = np.zeros(len(short), np.uint64)
     for j in range(8):
-        more = core[short] > j
-        code[more] |= _LOW[data[s[short[more]] + j]] << np.uint64(8 * j)
-    odd[short[np.isin(code, _KEY_CODES)]] = True
-    doc = np.searchsorted(ends, s, side="right")
-    near = odd.copy()
-    near[1:] |= odd[:-1] & (doc[1:] == doc[:-1])
-    near[:-1] |= odd[1:] & (doc[1:] == doc[:-1])
-    at = np.flatnonzero(near)
-    head = np.ones(len(at), bool)
-    head[1:] = (np.diff(at) > 1) | (doc[at[1:]] != doc[at[:-1]])
-    return s[at], t[at], head
+        more = n[short] > j
+        code[more] |= data[s[short[more]] + j].astype(np.uint64) << np.uint64(8 * j)
+    ask[short[np.isin(code, _KEY_CODES)]] = True
+    raw = data.tobytes()
+    for k in np.flatnonzero(ask).tolist():
+        token = raw[s[k] : t[k]].decode()
+        out[k] = shape(token) if len(token) <= 64 else shape.__wrapped__(token)
+    return out
+
+
+def _tags(field: ChainField, classes: np.ndarray, doc: np.ndarray, piece: int = PIECE, context: int = CONTEXT) -> np.ndarray:
+    """The label of each token; ``doc`` says which text a token is of."""
+    out = np.zeros(len(classes), np.int64)
+    if not len(classes):
+        return out
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    last = np.append(first[1:], len(doc))
+    pieces = -(-(last - first) // piece)
+    owner = np.repeat(np.arange(len(first)), pieces)
+    own = first[owner] + piece * (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    first, last = first[owner], last[owner]
+    own_end = np.minimum(own + piece, last)
+    lo, hi = np.maximum(own - context, first), np.minimum(own_end + context, last)
+    order = np.argsort(lo - hi, kind="stable")
+    own, own_end, lo, hi, first, last = (x[order] for x in (own, own_end, lo, hi, first, last))
+    padded = np.append(classes, 0)
+    k = 0
+    while k < len(lo):  # blocks of pieces, bounded by cells
+        longest = int(hi[k] - lo[k])
+        x = slice(k, k + max(1, 200_000 // (longest + 2)))
+        n = hi[x] - lo[x]
+        at = lo[x, None] + np.arange(longest)[None]
+        real = at < hi[x, None]
+        c = np.zeros((len(n), longest + 2), np.int64)
+        c[:, 1:-1] = np.where(real, padded[np.minimum(at, len(classes))], 0)
+        c[:, 0] = np.where(lo[x] > first[x], padded[lo[x] - 1], 0)
+        c[np.arange(len(n)), n + 1] = np.where(hi[x] < last[x], padded[hi[x]], 0)
+        tags = field.decode(c, n)
+        mine = (at >= own[x, None]) & (at < own_end[x, None])
+        out[at[mine]] = tags[mine]
+        k += len(n)
+    return out
 
 
 def _valid(kind: int, text: str) -> tuple[int, int] | None:
@@ -355,37 +388,22 @@ def field_spans(field: ChainField, column: pa.Array) -> dict[int, list[tuple[int
     base = int(off[0])
     data, ends = data[base : int(off[-1])], off[1:] - base
     found: dict[int, list[tuple[int, int, int]]] = {}
-    s, t, head = _runs(data, ends)
+    s, t = _tokens(data, ends)
     if not len(s):
         return found
     raw = data.tobytes()
-    classes = np.fromiter((shape(raw[a:b].decode()) for a, b in zip(s.tolist(), t.tolist())), np.int64, len(s))
-    first = np.flatnonzero(head)
-    size = np.diff(np.append(first, len(s)))
-    order = np.argsort(-size, kind="stable")
-    first, size = first[order], size[order]
-    step = 1
-    k = 0
-    while k < len(first):  # blocks of runs, bounded by cells
-        step = max(1, min(len(first) - k, 200_000 // (int(size[k]) + 2)))
-        f, n = first[k : k + step], size[k : k + step]
-        at = f[:, None] + np.arange(n[0])[None]
-        real = np.arange(n[0])[None] < n[:, None]
-        c = np.zeros((len(f), n[0] + 2), np.int64)
-        c[:, 1:-1] = np.where(real, classes[np.minimum(at, len(s) - 1)], 0)
-        tags = np.where(real, field.decode(c, n), 0)
-        for i, j in zip(*np.nonzero((tags > 0) & (tags % 2 == 1))):
-            e = j
-            while e + 1 < n[i] and tags[i, e + 1] == tags[i, j] + 1:
-                e += 1
-            lo, hi, kind = int(s[f[i] + j]), int(t[f[i] + e]), (int(tags[i, j]) - 1) // 2
-            text = raw[lo:hi].decode()
-            if got := _valid(kind, text):
-                lo, hi = lo + len(text[: got[0]].encode()), lo + len(text[: got[1]].encode())
-                row = int(np.searchsorted(ends, lo, side="right"))
-                shift = int(off[row]) - base
-                found.setdefault(row, []).append((kind, lo - shift, hi - shift))
-        k += step
+    doc = np.searchsorted(ends, s, side="right")
+    tags = _tags(field, _classes(data, s, t), doc)
+    for j in np.flatnonzero(tags % 2 == 1).tolist():
+        e = j
+        while e + 1 < len(s) and tags[e + 1] == tags[j] + 1 and doc[e + 1] == doc[j]:
+            e += 1
+        lo, hi, kind = int(s[j]), int(t[e]), (int(tags[j]) - 1) // 2
+        text = raw[lo:hi].decode()
+        if got := _valid(kind, text):
+            lo, hi = lo + len(text[: got[0]].encode()), lo + len(text[: got[1]].encode())
+            shift = int(off[doc[j]]) - base
+            found.setdefault(int(doc[j]), []).append((kind, lo - shift, hi - shift))
     return found
 
 
@@ -427,6 +445,7 @@ def _find(field):
                     [batch.column(0).slice(lo, hi - lo), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(4)), pa.array(digests, pa.string()), pa.array(spans, _SPAN)],
                     names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
                 )
+        release()
 
     return run
 
@@ -466,5 +485,6 @@ def redact(docs: DataFrame, field: ChainField | None = None, text_col: str = "te
                 texts = [None if null else (redacted(t, spans) if spans else t) for null, (t, _, spans) in zip(part.is_null().to_pylist(), all_spans(f, part))]
                 rows = batch.slice(lo, hi - lo)
                 yield rows.set_column(place, rows.schema.field(place), pa.array(texts, column.type))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
