@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import duckdb
@@ -82,6 +83,38 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_recall(spark):
+    """Lines at similarities about the threshold against brute force on all pairs and union-find."""
+    r = random.Random(8)
+    lines, planted = [], 0
+    for k in range(150):
+        base = words(r.randint(3, 40), 1000 + k)
+        lines.append(base)
+        for _ in range(r.randint(1, 3)):
+            x = list(base)
+            for _ in range(max(1, len(x) // 110)):
+                x[r.randrange(len(x))] = "#"
+            lines.append("".join(x))
+    lines += [words(3, 5)] * 40 + ["-"] * 5 + ["ab", "ab ", "long" * 5000, "long" * 5000 + "!"]
+    sets = [{x[i : i + 8] for i in range(max(1, len(x) - 7))} for x in lines]
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = [(i, j) for j in range(len(lines)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    for i, j in links:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    want = {(k // 3, k % 3) for k in range(len(lines)) if find(k) != k}
+    texts = [(k // 3, "\n".join(lines[k : k + 3])) for k in range(0, len(lines), 3)]
+    table = docs(spark, texts + texts[:5]).withColumn("band", F.lit(1)).withColumn("place", F.lit("x"))
+    got = {(x.doc_id, no) for x in line_dedup.dropped_lines(table).collect() for no in x.dropped}
+    assert len(links) > 400 and got <= want and len(got) >= 0.98 * len(want)
+
+
 def test_packing_plan():
     r = random.Random(5)
     for n in (0, 1, 30, 3000):
@@ -173,12 +206,32 @@ def test_language(spark):
     assert all(got[i].lang_pred == k for i, _, k in rows)
     assert got[100].lang_pred == "xx" and [s.lang for s in got[100].spans] == ["xx", "yy"] and 0 < got[100].score < 1
     assert mixed[got[100].spans[0].start : got[100].spans[0].end].split()[-1] in vocab["xx"]
-    assert all(got[i].lang_pred == "und" and got[i].score == 0 and not got[i].spans for i in (101, 102, 103, 104)) and got[None].lang_pred == "zz"
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 and not got[i].spans for i in (101, 102, 103)) and got[None].lang_pred == "zz" and got[104].lang_pred in vocab
     none = language.fit(df.limit(0), F.lit(True))
     assert {x.lang_pred for x in language.identify(df, none).collect()} == {"und"}
     assert [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(9)] == [x.h for x in spark.range(9).select(language.held_out("id").alias("h")).collect()]
 
 
+def test_language_of_long_texts():
+    """Piece by piece a text gets the spans that it gets as a whole, wherever the pieces end."""
+    r = random.Random(4)
+    vocab = {"xx": "der die und nicht ein haus wasser".split(), "yy": "the of and water house that".split()}
+    logp, allowed = np.log(np.random.default_rng(2).random((1 << language.BITS, 2))).astype(np.float32), np.zeros((len(language.SCRIPT_NAMES), 2), bool)
+    allowed[language.SCRIPT_NAMES.index("latin")] = True
+    model = language.Model(["xx", "yy"], logp, allowed, 2.0)
+    for text in (" ".join(r.choice(vocab[r.choice("xy") * 2]) + r.choice(["", " 日本", " 7"]) for _ in range(400)), "日本 語 " * 30, "12 !? " * 50, "", "a" * 90 + " b"):
+        w, label = model.label([text])
+        got = label >= 0
+        whole = np.bincount(label[got], weights=w.n_letters[got], minlength=2)
+        spans = []
+        for a, b, c in zip(w.start[got].tolist(), w.stop[got].tolist(), label[got].tolist()):
+            spans = [*spans[:-1], (spans[-1][0], b, c)] if spans and spans[-1][2] == c else [*spans, (a, b, c)]
+        for most in (100, 137, 1000, 10**6):
+            held, letters, runs = model.label_long(text, most)
+            assert (held == whole).all() and letters == sum(c.isalpha() for c in text) and runs == spans
+    assert "".join(t for _, t in language.pieces("ab cd" * 99, 7)) == "ab cd" * 99
+
+
 def test_language_of_scripts_without_training(spark):
     """Letters of scripts that no language was learned in: a learned language; und without letters only."""
     import corpus_pipeline
@@ -230,6 +283,22 @@ def test_pii_base():
         assert pii.base_spans(t) == brute_pii(t), t
 
 
+def test_pii_pieces():
+    """Pieces get the tags of whole texts, also in texts of numbers only; classes are those of shape()."""
+    r = random.Random(3)
+    rows = [x for x, _ in pii.labelled_rows(60, seed=5)]
+    texts = [" ".join(w for x in r.sample(rows, 40) for w in x), " ".join(str(r.randrange(10 ** r.randint(1, 9))) for _ in range(900)), "", "a At at, (dot) é — 日本 foo. _ 7" * 30, " ".join(words(5, k) for k in range(90))]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    ends = np.cumsum([len(t.encode()) for t in texts])
+    s, t = pii._tokens(data, ends)
+    classes = pii._classes(data, s, t)
+    assert classes.tolist() == [pii.shape(w) for x in texts for w in re.split("[ \t\n\x0b\x0c\r]+", x) if w]
+    doc = np.searchsorted(ends, s, side="right")
+    field = pii.trained()
+    whole = pii._tags(field, classes, doc, piece=10**6)
+    assert (whole > 0).sum() > 100 and all((pii._tags(field, classes, doc, piece=p) == whole).all() for p in (40, 101, 512))
+
+
 def test_pii(spark):
     field = pii.trained()
     texts = [
