@@ -38,6 +38,21 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most about BATCH_BYTES in this session, unless it asks for smaller ones.
+
+    A batch is held several times, by the executor and by each worker; a longer row is one batch.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a table made by materialise() that nothing needs any more."""
     path = getattr(df, "_seqrec_path", None)

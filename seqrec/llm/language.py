@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from seqrec.llm.common import bound_batches
 from seqrec.llm.textbuf import release, slices
 
 BITS = 16
@@ -314,6 +315,7 @@ def _viterbi(score: np.ndarray, doc: np.ndarray, penalty: float) -> np.ndarray:
 
 def fit(docs: DataFrame, train: Column, per_language: int = 4000, penalty: float = 12.0, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """A model from the labelled rows for which ``train`` holds, at most about ``per_language`` each."""
+    bound_batches(docs.sparkSession)
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(n)
@@ -398,6 +400,7 @@ def _identify(model):
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, spans) of every row; spans in code points, end exclusive."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return docs.mapInArrow(_identify(shared), "doc_id long, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
@@ -405,6 +408,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def identify_beside(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with the columns lang_pred__ and score__; rows stay where they are."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     inner = _identify(shared)
     place = docs.columns.index(text_col)

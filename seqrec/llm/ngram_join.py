@@ -29,8 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from seqrec.llm.common import by_ids, connected_components, materialise
-from seqrec.llm.textbuf import mix, shingle_sets
+from seqrec.llm.common import bound_batches, by_ids, connected_components, materialise
+from seqrec.llm.textbuf import release, shingle_sets
 
 #: Counters of the frequency sketch. Its size is fixed, so the broadcast is 4 MB whatever the input.
 SKETCH_BITS = 22
@@ -46,14 +46,14 @@ def _signature(h: np.ndarray) -> np.ndarray:
 
 def _heads(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << SKETCH_BITS, np.int64)
+        cells = np.zeros(1 << SKETCH_BITS, np.int32)
         pending: list[np.ndarray] = []
         held = 0
 
         def flush() -> None:
             nonlocal pending, held
             if pending:
-                cells.__iadd__(np.bincount(np.concatenate(pending).astype(np.int64), minlength=len(cells)))
+                np.add.at(cells, np.concatenate(pending), 1)
             pending, held = [], 0
 
         schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64())] + [(b, pa.int64()) for b in _SIG] + [("part", pa.int32()), ("cells", pa.binary())])
@@ -65,7 +65,7 @@ def _heads(width: int):
                 sig.append(_signature(h))
                 pending.append((h & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int32))
                 held += len(h)
-                if held > 2_000_000:
+                if held > 500_000:
                     flush()
             rows = len(n)
             if not rows:
@@ -85,6 +85,7 @@ def _heads(width: int):
                 [pa.array(np.ones(_CHUNKS, np.int32)), none, pa.nulls(_CHUNKS, pa.int32()), none, none] + [none] * 8 + [pa.array(np.arange(_CHUNKS, dtype=np.int32)), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())],
                 schema=schema,
             )
+        release()
 
     return run
 
@@ -131,6 +132,7 @@ def _postings(width: int, percent: int, levels):
                 places.append((np.int64(n) << 32) + np.arange(alone, first))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, ids, places, befores)], names=["token", "id", "place", "before"])
+        release()
 
     return run
 
@@ -144,6 +146,7 @@ def _verifier(width: int, percent: int):
                 ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keep], names=["a", "b", "ok"])
+        release()
 
     return run
 
@@ -159,12 +162,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of ``docs``: (doc_id, n_shingles, component_id, n_rows_of_set).
+    """One row for each row of ``docs``: (doc_id, n_shingles, component_id, n_equal).
 
     Two documents link when 100 * |A and B| >= percent * |A or B|; component_id is the smallest
     doc_id that links reach.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     heads = materialise(docs.mapInArrow(_heads(width), _HEAD), "heads")
     rows = heads.where("kind = 0")

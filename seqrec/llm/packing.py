@@ -30,12 +30,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from seqrec.llm.common import materialise
-from seqrec.llm.textbuf import blank_words, gather, slices
+from seqrec.llm.common import bound_batches, materialise
+from seqrec.llm.textbuf import blank_words, gather, release, slices
 
 WINDOW = 2048
 #: Words kept by a worker; the cache is emptied when it is full.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 _PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
 
@@ -90,7 +90,7 @@ def _cut(path: str, window: int, end_id: int):
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             texts, docs = batch.column(1), batch.column(0).to_pylist()
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, 4 << 20):
                 ids, off = tok.encode(texts.slice(lo, hi - lo))
                 for doc, a, b in zip(docs[lo:hi], off[:-1].tolist(), off[1:].tolist()):
                     n = b - a + 1
@@ -101,6 +101,7 @@ def _cut(path: str, window: int, end_id: int):
                             column.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        release()
 
     return run
 
@@ -198,6 +199,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    bound_batches(docs.sparkSession)
     pieces = materialise(docs.mapInArrow(_cut(tokenizer, window, end_id), _PIECES), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # window rows at most
     whole = counts.pop(window, 0)

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from seqrec.llm.common import bound_batches
 from seqrec.llm.textbuf import buffers, release, slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -456,6 +457,7 @@ def trained(rows: list[tuple[list[str], list[str]]] | None = None) -> ChainField
 
 def find_personal_data(docs: DataFrame, field: ChainField | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field or trained())
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return docs.mapInArrow(_find(shared), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans array<struct<kind: string, start: long, end: long>>")
@@ -473,6 +475,7 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def redact(docs: DataFrame, field: ChainField | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced by [EMAIL], [IP], [CARD] or [PHONE]."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field or trained())
     place = docs.columns.index(text_col)
 
