@@ -218,10 +218,10 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "decoder_input_shift": _with("SELECT item_id, concat_ws(',', 1, semantic_id[1] + 2, semantic_id[2] + 2) AS decoder_input FROM codec0", "codec0"),
     "pad_history": _with(
-        """SELECT user_id, target_timestamp, array_to_string(i || list_transform(range(len(i), 4), lambda x: 0), ',') AS padded_ids, array_to_string(f || list_transform(range(len(f), 4), lambda x: 0), ',') AS padded_feedback,
-             array_to_string(list_transform(range(0, 4), lambda x: CASE WHEN x >= len(i) THEN 1 ELSE 0 END), ',') AS padding_mask
+        """SELECT user_id, target_timestamp, array_to_string(i || list_transform(range(len(i), 50), lambda x: 0), ',') AS padded_ids, array_to_string(f || list_transform(range(len(f), 50), lambda x: 0), ',') AS padded_feedback,
+             array_to_string(list_transform(range(0, 50), lambda x: CASE WHEN x >= len(i) THEN 1 ELSE 0 END), ',') AS padding_mask
            FROM (SELECT user_id, target_timestamp, list(CAST(coalesce(item_idx, 1) AS BIGINT) ORDER BY p) AS i, list(f ORDER BY p) AS f
-             FROM (SELECT user_id, target_timestamp, unnest(history_item_ids) AS item_id, unnest(history_feedback_ids) AS f, generate_subscripts(history_item_ids, 1) AS p FROM train WHERE history_length <= 3) LEFT JOIN vocab USING (item_id) GROUP BY ALL)""",
+             FROM (SELECT user_id, target_timestamp, unnest(history_item_ids) AS item_id, unnest(history_feedback_ids) AS f, generate_subscripts(history_item_ids, 1) AS p FROM train) LEFT JOIN vocab USING (item_id) GROUP BY ALL)""",
         "train",
         "vocab",
     ),
