@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from seqrec.config import ITEM_UNKNOWN
+from seqrec.config import ITEM_UNKNOWN, POSITIVE
 from seqrec.functions.arrays import checked_feedback, last, or_empty, padded, padding_mask, shifted, target_tokens
 
 
@@ -29,6 +29,30 @@ def encode_histories(rows: DataFrame, vocab: DataFrame, keys: list[str], history
     return out.select(*keys, or_empty(F.transform("s", lambda x: x["i"])).alias("encoder_ids"), or_empty(F.transform("s", lambda x: x["f"])).alias("feedback_ids"))
 
 
+def inference_histories(rows: DataFrame, vocab: DataFrame, keys: list[str], history: int = 50) -> DataFrame:
+    """As encode_histories(), for a model that is asked: without feedback every item is positive, and
+    an empty or null history is one unknown, positive item."""
+    ids = or_empty(F.col("history_item_ids"))
+    given = F.col("history_feedback_ids") if "history_feedback_ids" in rows.columns else F.lit(None)
+    positive = F.transform(ids, lambda x: F.lit(POSITIVE))
+    rows = rows.select(*keys, ids.alias("history_item_ids"), F.coalesce(given.cast("array<int>"), positive).alias("history_feedback_ids"))
+    same = F.when(F.size("history_item_ids") == F.size("history_feedback_ids"), F.col("history_feedback_ids")).otherwise(F.raise_error(F.lit("history and feedback differ in length")).cast("array<int>"))
+    out = encode_histories(rows.withColumn("history_feedback_ids", same), vocab, keys, history)
+    filled = ((c, F.when(F.size("encoder_ids") == 0, F.array(F.lit(one).cast("bigint"))).otherwise(F.col(c).cast("array<bigint>"))) for c, one in (("feedback_ids", POSITIVE), ("encoder_ids", ITEM_UNKNOWN)))
+    return out.withColumns(dict(filled))
+
+
+def histories_of(users: DataFrame, histories: DataFrame) -> DataFrame:
+    """(query_id, history) of ``users`` (query_id); a user without a row in ``histories`` has an empty one."""
+    known = histories.select("query_id", "history")
+    return users.select("query_id").join(known, "query_id", "left").withColumn("history", or_empty(F.col("history")))
+
+
+def serving_width(history: Column, beam: int, k: int) -> Column:
+    """The beam that leaves ``k`` codes even if all distinct items of ``history`` are generated."""
+    return F.greatest(F.lit(beam), F.lit(k) + F.size(F.array_distinct(or_empty(history))))
+
+
 def encode_targets(rows: DataFrame, codec: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` with target_tokens and decoder_input; rows whose target has no code are dropped."""
     met = rows.join(codec.select(F.col("item_id").alias("target_item_id"), "semantic_id"), "target_item_id")

@@ -61,7 +61,7 @@ _STEPS: dict[str, tuple[tuple[str, ...], str]] = {
         ("inter",),
         "SELECT item_id, [CAST(p // 25 % 5 AS INTEGER), CAST(p // 5 % 5 AS INTEGER), CAST(p % 5 AS INTEGER)] AS semantic_id FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS p FROM (SELECT DISTINCT item_id FROM inter))",
     ),
-    "codec": (("codec0",), "SELECT * FROM codec0 WHERE item_id % 7 <> 3"),
+    "codec": (("codec0",), "SELECT * FROM codec0"),
     "vocab": (("codec",), "SELECT item_id, row_number() OVER (ORDER BY item_id) + 1 AS item_idx FROM codec"),
     "nodes": (
         ("codec",),
@@ -76,7 +76,7 @@ _LOGIT = "((query_id * 17 + ({code}) * 13 + {t} * 29) % 101) / 20.0"
 _CODES = ["7", "(7 * 31 + a0 + 1) % 1009", "((7 * 31 + a0 + 1) % 1009 * 31 + a1 + 1) % 1009"]
 
 
-def _search(masked: bool, tag: str) -> list[tuple[str, str]]:
+def _search(masked: bool, tag: str, width: str = "10") -> list[tuple[str, str]]:
     """Three levels of the beam search, unrolled."""
     out = []
     before = "(SELECT query_id, CAST(0 AS BIGINT) AS state, 0.0::DOUBLE AS s FROM asked)"
@@ -90,26 +90,26 @@ def _search(masked: bool, tag: str) -> list[tuple[str, str]]:
         pick = f"SELECT b.query_id{cols}, l.token AS a{step}, l.next_state AS state, b.s + {_LOGIT.format(code=_CODES[step], t='l.token')} - z AS s FROM {before} b JOIN z{tag}{step} USING ({using}) JOIN links l ON l.state = b.state AND l.level = {step}"
         names.append(f"a{step}")
         out.append((f"z{tag}{step}", z))
-        out.append((f"b{tag}{step}", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, {', '.join(names)}) AS r FROM ({pick})) WHERE r <= 10"))
+        out.append((f"b{tag}{step}", f"SELECT p.* FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, {', '.join(names)}) AS r FROM ({pick})) p JOIN asked USING (query_id) WHERE r <= {width}"))
         before = f"b{tag}{step}"
     out.append((f"beams{tag}", f"SELECT query_id, r AS beam_rank, [a0, a1, a2] AS semantic_id, s AS log_score FROM b{tag}2"))
     return out
 
 
-for _masked, _tag in ((False, "f"), (True, "m")):
+for _masked, _tag, _width in ((False, "f", "10"), (True, "m", "10"), (False, "w", "greatest(10, 5 + len(list_distinct(history)))")):
     _last: tuple[str, ...] = ("asked", "links", "toks")
-    for _name, _sql in _search(_masked, _tag):
+    for _name, _sql in _search(_masked, _tag, _width):
         _STEPS[_name] = (_last, _sql)
         _last = (*_last, _name)
 
-_STEPS["found"] = (
-    ("beamsf", "codec", "asked"),
-    """SELECT *, sum(CASE WHEN status = 'kept' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY beam_rank) AS kept FROM (
+_FOUND = """SELECT *, sum(CASE WHEN status = 'kept' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY beam_rank) AS kept FROM (
          SELECT *, CASE WHEN item_id IS NULL THEN 'invalid' WHEN list_contains(history, item_id) THEN 'history'
            WHEN row_number() OVER (PARTITION BY query_id, item_id ORDER BY beam_rank) > 1 THEN 'duplicate' ELSE 'kept' END AS status
-         FROM beamsf LEFT JOIN (SELECT * FROM codec WHERE item_id % 5 <> 1) USING (semantic_id) JOIN asked USING (query_id))""",
-)
-_STEPS["gen"] = (("found",), "SELECT query_id, beam_rank, item_id, semantic_id, kept AS rank, CASE WHEN kept > 5 OR (kept = 5 AND status <> 'kept') THEN 'unread' ELSE status END AS status FROM found")
+         FROM {beams} LEFT JOIN codec USING (semantic_id) JOIN asked USING (query_id))"""
+_GEN = "SELECT query_id, beam_rank, item_id, semantic_id, kept AS rank, CASE WHEN kept > 5 OR (kept = 5 AND status <> 'kept') THEN 'unread' ELSE status END AS status FROM {found}"
+for _found, _gen, _beams in (("found", "gen", "beamsf"), ("foundw", "genw", "beamsw")):
+    _STEPS[_found] = ((_beams, "codec", "asked"), _FOUND.format(beams=_beams))
+    _STEPS[_gen] = ((_found,), _GEN.format(found=_found))
 
 
 def _with(select: str, *needs: str) -> str:
@@ -211,6 +211,13 @@ ORACLE_SQL: dict[str, str] = {
         "ex",
         "vocab",
     ),
+    "inference_history": _with(
+        """SELECT query_id AS user_id, CASE WHEN len(past) = 0 THEN '1' ELSE encoder_ids END AS encoder_ids, CASE WHEN len(past) = 0 THEN '3' ELSE array_to_string(list_transform(past[-10:], lambda x: 3), ',') END AS feedback_ids
+           FROM asked LEFT JOIN (SELECT query_id, array_to_string(list(CAST(coalesce(item_idx, 1) AS BIGINT) ORDER BY p), ',') AS encoder_ids
+             FROM (SELECT query_id, unnest(past[-10:]) AS item_id, generate_subscripts(past[-10:], 1) AS p FROM asked) LEFT JOIN vocab USING (item_id) GROUP BY 1) USING (query_id)""",
+        "asked",
+        "vocab",
+    ),
     "encode_target": _with(
         "SELECT query_id AS user_id, concat_ws(',', semantic_id[1] + 2, semantic_id[2] + 2, semantic_id[3] + 2) AS target_tokens, concat_ws(',', 1, semantic_id[1] + 2, semantic_id[2] + 2) AS decoder_input FROM asked JOIN codec ON target = item_id",
         "asked",
@@ -280,6 +287,7 @@ ORACLE_SQL: dict[str, str] = {
         f"SELECT user_id, target_timestamp, {_j('history_item_ids', 'history_feedback_ids')} FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY target_timestamp DESC, history_length DESC) AS r FROM ex) WHERE r = 1", "ex"
     ),
     "serving_recommendations": _with("SELECT query_id, CAST(rank AS BIGINT) AS rank, item_id, p_name AS title, array_to_string(semantic_id, ',') AS semantic_id FROM gen JOIN part ON item_id = p_partkey WHERE status = 'kept'", "gen"),
-    "missing_titles": _with("SELECT item_id FROM codec0 WHERE item_id NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 9 <> 4)", "codec0"),
+    "serving_widened_beam": _with("SELECT query_id, CAST(rank AS BIGINT) AS rank, item_id, p_name AS title FROM genw JOIN part ON item_id = p_partkey WHERE status = 'kept'", "genw"),
+    "missing_titles": _with("SELECT item_id FROM codec0 WHERE item_id NOT IN (SELECT p_partkey FROM part)", "codec0"),
     "latency_summary": "SELECT count(*) AS n, round(avg(ms), 6) AS mean, round(quantile_cont(ms, 0.5), 6) AS p50, round(quantile_cont(ms, 0.95), 6) AS p95, round(max(ms), 6) AS max, round(1000.0 * count(*) / sum(ms), 6) AS per_second FROM (SELECT p_size + 0.5::DOUBLE AS ms FROM part)",
 }

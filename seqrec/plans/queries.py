@@ -49,13 +49,8 @@ def _part_codec(spark: SparkSession, d: str) -> DataFrame:
     return semantic_ids.codes_from_order(events_as_ratings(spark, d).select("item_id").distinct(), CODES)
 
 
-def _known_codec(spark: SparkSession, d: str) -> DataFrame:
-    """The codec without every seventh item, so that some targets are unknown."""
-    return _part_codec(spark, d).where("item_id % 7 <> 3")
-
-
 def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    nodes = trie.states(_known_codec(spark, d))
+    nodes = trie.states(_part_codec(spark, d))
     return nodes, trie.edges(nodes)
 
 
@@ -199,17 +194,17 @@ def item_universe(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def item_vocab(spark: SparkSession, d: str) -> DataFrame:
-    return embedding.vocabulary(_known_codec(spark, d), _split(spark, d, "train"))
+    return embedding.vocabulary(_part_codec(spark, d), _split(spark, d, "train"))
 
 
 @query
 def target_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return generative.coverage(_split(spark, d, "test"), _known_codec(spark, d)).withColumn("unknown_rate", F.round("unknown_rate", 6))
+    return generative.coverage(_split(spark, d, "test"), _part_codec(spark, d)).withColumn("unknown_rate", F.round("unknown_rate", 6))
 
 
 @query
 def target_coverage_limited(spark: SparkSession, d: str) -> DataFrame:
-    return generative.coverage(_split(spark, d, "test"), _known_codec(spark, d), order=("user_id",), known_limit=9).withColumn("unknown_rate", F.round("unknown_rate", 6))
+    return generative.coverage(_split(spark, d, "test"), _part_codec(spark, d), order=("user_id",), known_limit=9).withColumn("unknown_rate", F.round("unknown_rate", 6))
 
 
 @query
@@ -237,12 +232,19 @@ def item_embeddings(spark: SparkSession, d: str) -> DataFrame:
 @query
 def encode_history(spark: SparkSession, d: str) -> DataFrame:
     rows = _split(spark, d, "test")
-    return _text(generative.encode_histories(rows, embedding.vocabulary(_known_codec(spark, d)), ["user_id"], history=10))
+    return _text(generative.encode_histories(rows, embedding.vocabulary(_part_codec(spark, d)), ["user_id"], history=10))
+
+
+@query
+def inference_history(spark: SparkSession, d: str) -> DataFrame:
+    """The positives alone, without feedback: some users have none."""
+    rows = _split(spark, d, "test").select("user_id", F.col("positive_history_item_ids").alias("history_item_ids"))
+    return _text(generative.inference_histories(rows, embedding.vocabulary(_part_codec(spark, d)), ["user_id"], history=10))
 
 
 @query
 def encode_target(spark: SparkSession, d: str) -> DataFrame:
-    return _text(generative.encode_targets(_split(spark, d, "test"), _known_codec(spark, d), ["user_id"]))
+    return _text(generative.encode_targets(_split(spark, d, "test"), _part_codec(spark, d), ["user_id"]))
 
 
 @query
@@ -253,7 +255,7 @@ def decoder_input_shift(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pad_history(spark: SparkSession, d: str) -> DataFrame:
-    rows = generative.encode_histories(_split(spark, d, "train"), embedding.vocabulary(_known_codec(spark, d)), ["user_id", "target_timestamp"], SPLIT.max_history)
+    rows = generative.encode_histories(_split(spark, d, "train"), embedding.vocabulary(_part_codec(spark, d)), ["user_id", "target_timestamp"], SPLIT.max_history)
     out = generative.batches(rows, SPLIT.max_history).withColumn("padding_mask", F.transform("padding_mask", lambda x: x.cast("int")))
     return _text(out.select("user_id", "target_timestamp", "padded_ids", "padded_feedback", "padding_mask"))
 
@@ -274,13 +276,13 @@ def semantic_ids_kmeans(spark: SparkSession, d: str) -> DataFrame:
 @query
 def codec_encode(spark: SparkSession, d: str) -> DataFrame:
     items = _split(spark, d, "test").select("user_id", F.col("target_item_id").alias("item_id"))
-    return _text(semantic_ids.encode(items, _known_codec(spark, d), strict=False))
+    return _text(semantic_ids.encode(items, _part_codec(spark, d), strict=False))
 
 
 @query
 def codec_decode(spark: SparkSession, d: str) -> DataFrame:
     codes = _part_codec(spark, d).select("semantic_id")
-    return _text(semantic_ids.decode(codes, _known_codec(spark, d), strict=False)).withColumn("item_id", F.coalesce("item_id", F.lit(-1)))
+    return _text(semantic_ids.decode(codes, _part_codec(spark, d), strict=False)).withColumn("item_id", F.coalesce("item_id", F.lit(-1)))
 
 
 @query
@@ -344,7 +346,7 @@ def mask_equivalence(spark: SparkSession, d: str) -> DataFrame:
     """Rows in which masks from edges and from codes differ: none, so the count is 0 by level."""
     nodes, links = _index(spark, d)
     from_edges = links.join(nodes.select("state", "prefix"), "state").select("prefix", "token")
-    from_codes = _known_codec(spark, d).select("semantic_id", F.explode(F.sequence(F.lit(0), F.lit(CODES.depth - 1))).alias("level"))
+    from_codes = _part_codec(spark, d).select("semantic_id", F.explode(F.sequence(F.lit(0), F.lit(CODES.depth - 1))).alias("level"))
     from_codes = from_codes.select(F.slice("semantic_id", F.lit(1), F.col("level")).alias("prefix"), F.col("semantic_id")[F.col("level")].alias("token")).distinct()
     both = from_edges.withColumn("a", F.lit(1)).join(from_codes.withColumn("b", F.lit(1)), ["prefix", "token"], "full")
     return both.groupBy(F.size("prefix").cast("bigint").alias("level")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("a").isNull() | F.col("b").isNull(), 1).otherwise(0)).alias("differences"))
@@ -382,8 +384,7 @@ def beam_search_masked_softmax(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _generated(spark: SparkSession, d: str) -> DataFrame:
-    codec = _known_codec(spark, d).where("item_id % 5 <> 1")  # some generated codes have no item
-    return generative.recommend(_beams(spark, d, masked=False), codec, _queries(spark, d), TOP)
+    return generative.recommend(_beams(spark, d, masked=False), _part_codec(spark, d), _queries(spark, d), TOP)
 
 
 @query
@@ -406,14 +407,14 @@ def generation_counters(spark: SparkSession, d: str) -> DataFrame:
 @query
 def count_scorer_recommend(spark: SparkSession, d: str) -> DataFrame:
     asked = _queries(spark, d)
-    scorer = CountScorer(asked, baselines.pair_counts(_split(spark, d, "train"), KNN.history), _known_codec(spark, d))
-    found = generative.recommend(_beams(spark, d, False, scorer), _known_codec(spark, d), asked, TOP)
+    scorer = CountScorer(asked, baselines.pair_counts(_split(spark, d, "train"), KNN.history), _part_codec(spark, d))
+    found = generative.recommend(_beams(spark, d, False, scorer), _part_codec(spark, d), asked, TOP)
     return found.where("status = 'kept'").select("query_id", "rank", "item_id", F.round("score", 6).alias("score"))
 
 
 @query
 def teacher_forcing_metrics(spark: SparkSession, d: str) -> DataFrame:
-    rows = generative.encode_targets(_split(spark, d, "test"), _known_codec(spark, d), ["user_id"])
+    rows = generative.encode_targets(_split(spark, d, "test"), _part_codec(spark, d), ["user_id"])
     steps = rows.select(F.col("user_id").alias("query_id"), "target_tokens", F.posexplode("target_tokens").alias("step", "t"))
     steps = steps.withColumn("prefix", F.transform(F.slice("target_tokens", F.lit(1), F.col("step")), lambda x: x - 2))
     scored = HashScorer().logits(steps, 0, CODES.branching).select(F.col("query_id").alias("example_id"), (F.col("t") - 2).alias("token"), "logits")
@@ -436,9 +437,17 @@ def serving_recommendations(spark: SparkSession, d: str) -> DataFrame:
     return _text(generative.serving_table(_generated(spark, d), _titles(spark, d))).drop("score")
 
 
+@query
+def serving_widened_beam(spark: SparkSession, d: str) -> DataFrame:
+    asked = _queries(spark, d).withColumn("width", generative.serving_width(F.col("history"), BEAM, TOP))
+    beams = beam.beam_search(asked, _index(spark, d)[1], HashScorer(), CODES.depth, CODES.branching, "width")
+    found = generative.recommend(beams, _part_codec(spark, d), asked, TOP)
+    return generative.serving_table(found, _titles(spark, d)).select("query_id", "rank", "item_id", "title")
+
+
 @query
 def missing_titles(spark: SparkSession, d: str) -> DataFrame:
-    return generative.missing_titles(_part_codec(spark, d), _titles(spark, d).where("item_id % 9 <> 4"))
+    return generative.missing_titles(_part_codec(spark, d), _titles(spark, d))
 
 
 @query

@@ -24,14 +24,23 @@ def require_paths(paths: dict[str, str]) -> None:
         raise FileNotFoundError(f"missing artifacts: {', '.join(missing)}")
 
 
-def lookup(served: DataFrame) -> Callable[[int, int], dict]:
-    """A function of user and k over a serving table (query_id, rank, item_id, title, semantic_id, score)."""
+def lookup(served: DataFrame, most: int | None = None, anyone: int | None = None) -> Callable[[int, int], dict]:
+    """A function of user and k over a serving table (query_id, rank, item_id, title, semantic_id, score).
+
+    most: the k that the table was made for; more is refused instead of cut. anyone: the query_id whose
+    rows, made from an empty history, answer users without rows of their own.
+    """
 
     def get(user_id: int, k: int = DEFAULT_K) -> dict:
         if user_id < 1 or k < 1:
             raise ValueError("user_id and k start at 1")
+        if most is not None and k > most:
+            raise ValueError(f"k is at most {most} here")
         start = time.perf_counter()
-        rows = served.where((F.col("query_id") == user_id) & (F.col("rank") <= k)).orderBy("rank").collect()
+        ids = [user_id] if anyone is None else [user_id, anyone]
+        rows = served.where(F.col("query_id").isin(ids) & (F.col("rank") <= k)).orderBy("rank").collect()
+        own = [r for r in rows if r.query_id == user_id]
+        rows = own or rows
         items = [{"item_id": r.item_id, "title": r.title, "semantic_id": list(r.semantic_id), "score": r.score} for r in rows]
         return {"user_id": user_id, "model": "generative", "decoder": "prefix_index", "items": items, "latency_ms": (time.perf_counter() - start) * 1000}
 

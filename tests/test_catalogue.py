@@ -39,7 +39,7 @@ def test_pad_history_takes_every_train_row(spark):
     """All train rows at the length of 50, by hand from the split and the vocabulary."""
     from seqrec.operators import embedding
 
-    index = {r.item_id: r.item_idx for r in embedding.vocabulary(queries._known_codec(spark, DIR)).collect()}
+    index = {r.item_id: r.item_idx for r in embedding.vocabulary(queries._part_codec(spark, DIR)).collect()}
     want = []
     for r in queries._split(spark, DIR, "train").collect():
         n = len(r.history_item_ids)
