@@ -21,6 +21,10 @@ class DuplicateCode(InvalidCodec):
     pass
 
 
+class InvalidArtifact(SeqrecError):
+    pass
+
+
 class UnknownItem(SeqrecError, KeyError):
     pass
 
