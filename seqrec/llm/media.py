@@ -221,8 +221,8 @@ def index_media(media: DataFrame) -> DataFrame:
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "timescale", "duration", "keyframes"]
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
     for batch in batches:
         rows = []
         for data in batch.column(2):
@@ -231,11 +231,14 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = payload(data, t)
             ranges = np.stack([t.offsets[t.keys], t.sizes[t.keys]], axis=1).astype("<i8")
             feature = f"{t.codec.strip()};{t.duration}/{t.timescale};{len(t.offsets)};{len(t.keys)};{zlib.crc32(ranges.tobytes())}"
-            rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature))
+            keys = ",".join(f"{start}:{length}" for start, length in t.key_ranges())
+            rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, t.codec.strip(), t.timescale, t.duration, keys))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=names)
 
 
 def digest_media(media: DataFrame) -> DataFrame:
-    """Digests of payloads and containers of a result of store_texts(), read back from the bytes."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    """Digests of payloads and containers of a result of store_texts(), read back from the bytes, with
+    codec, timescale, duration and keyframe byte ranges (start:length, comma-joined) of the first
+    track. An empty table stays empty; repeated rows give repeated results."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, timescale long, duration long, keyframes string"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_digest, schema)

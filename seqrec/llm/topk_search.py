@@ -15,7 +15,7 @@ in falling order of length with running thresholds, and at most k rows for each
 
 Defined results: a vector that is null or holds a null, NaN or infinite component takes no part, as
 a row without id. Rows that repeat an id count as one, with the least vector. Vectors of different
-sizes are compared over their common components. The scaled components are taken as 64-bit
+sizes are compared over their common components; one without any has score 0 with all others. The scaled components are taken as 64-bit
 integers, and scores beyond 64 bits are saturated. Ties go to the smaller id.
 """
 
@@ -36,7 +36,7 @@ _EPS = 1e-9
 
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    width = max(map(len, pdf["v"]))
+    width = max(1, max(map(len, pdf["v"])))
     m = np.zeros((len(pdf), width), np.int64)
     for k, v in enumerate(pdf["v"]):
         m[k, : len(v)] = v
@@ -145,7 +145,7 @@ def _search(k: int):
 def exact_top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k greatest inner products of each row for which
     ``queries`` (a condition on vec_id) holds with all other rows, components being floor(scale * x)."""
-    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("e")).where("vec_id is not null and e is not null and size(e) > 0")
+    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("e")).where("vec_id is not null and e is not null")
     v = v.where(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(math.inf))))
     v = v.select("vec_id", F.transform("e", lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v"))
     v = v.groupBy("vec_id").agg(F.min("v").alias("v"))

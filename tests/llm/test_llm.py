@@ -328,14 +328,14 @@ def test_chain_field_decodes_the_best_path():
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=6) * rng.choice([0.1, 1, 5])]) for i in range(300)]
-    rows += [(1000, None), (1001, [1.0, None]), (1002, [float("nan")] * 6), (1003, [float("inf")] * 6), (None, [1.0] * 6), (5, rows[5][1]), (2000, [0.0] * 6), (2001, rows[7][1]), (2002, [])]
+    rows += [(1000, None), (1001, [1.0, None]), (1002, [float("nan")] * 6), (1003, [float("inf")] * 6), (None, [1.0] * 6), (5, rows[5][1]), (2000, [0.0] * 6), (2001, rows[7][1]), (2002, []), (2020, []), (2040, [1.0, 2.0])]
     df = spark.createDataFrame([(i, v, 0, 1) for i, v in rows], "vec_id long, embedding array<float>, score int, bucket int")
     got = topk_search.exact_top_k(df, F.col("vec_id") % 20 == 0, k=7).collect()
-    vec = {i: np.floor(64 * np.array(v, np.float32).astype(float)).astype(np.int64) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()}
+    vec = {i: np.floor(64 * np.array(v, np.float32).astype(float)).astype(np.int64) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()}
     want = []
     for q in vec:
         if q % 20 == 0:
-            best = sorted((-int(vec[q] @ vec[c]), c) for c in vec if c != q)[:7]
+            best = sorted((-int(vec[q][: len(vec[c])] @ vec[c][: len(vec[q])]), c) for c in vec if c != q)[:7]
             want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
     assert sorted(want) == sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got)
     assert topk_search.exact_top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
@@ -422,6 +422,13 @@ def test_media(spark):
         p = raw + b" " * (-len(raw) % 192) if raw else b" " * 192
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
     assert got[1].media_sha256 == got[6].media_sha256 and got[2].feature == got[3].feature
+    held = {r.doc_id: bytes(r.media) for r in stored.collect()}
+    for i, _ in texts:
+        ranges = [tuple(map(int, x.split(":"))) for x in got[i].keyframes.split(",")]
+        (t,) = media.tracks(held[i])
+        assert ranges == t.key_ranges() and (got[i].codec, got[i].timescale, got[i].duration) == (t.codec.strip(), t.timescale, t.duration)
+        assert all(0 < a and a + n <= len(held[i]) and n > 0 for a, n in ranges)
+    assert media.digest_media(media.store_texts(docs(spark, []))).count() == 0
     rows = stored.select("doc_id", "media").unionByName(spark.createDataFrame([(7, None), (8, b"junk")], "doc_id long, media binary"))
     index = {r.doc_id: r for r in media.index_media(rows).collect()}
     assert index[4].codec == "raw " and index[4].n_samples == 1 and index[7].status == index[8].status == "invalid"
