@@ -21,9 +21,11 @@ empty result. Other columns are ignored.
 from __future__ import annotations
 
 import os
+import string
 import struct
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -34,8 +36,12 @@ from seqrec.llm.common import bound_batches, materialise
 from seqrec.llm.textbuf import blank_words, gather, release, slices
 
 WINDOW = 2048
-#: Words kept by a worker; the cache is emptied when it is full.
+#: Words kept by a worker; a full cache keeps the words of the next slice only.
 CACHE_WORDS = 300_000
+#: Marks that are split off a word's end before it is looked up, if one of ALNUM is before them.
+ENDS = ".,;:!?#*$%"
+ALNUM = frozenset(string.ascii_letters + string.digits)
+_FIRST = itemgetter(0)
 _PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
 
@@ -43,7 +49,8 @@ class WordTokenizer:
     """Encodes texts word by word through a cache, with the ids of whole texts.
 
     Valid for tokenizers whose pre-tokeniser never joins what a blank separates (their pattern
-    drops white space), as normalisation and merges then work within blank-separated words.
+    drops white space), as normalisation and merges then work within blank-separated words. That
+    pattern must also part a letter or digit from a mark behind it.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,25 +59,60 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {"": b""}
+        vocab = self.tokenizer.get_vocab()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: by id: the last id of a pre-token
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[k for t, k in vocab.items() if suffix and t.endswith(suffix)]] = True
 
     def _learn(self, words: list[str]) -> None:
-        """Encodes new words, 256 in a call with blanks between them; offsets tell whose an id is."""
-        for k in range(0, len(words), 256):
-            part = words[k : k + 256]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+        """Encodes new words, 256 in a call with blanks between them.
+
+        A word that ends in a letter or digit and then marks of ENDS is encoded as its two parts,
+        which the pre-tokeniser parts anyway; most parts are known.
+        """
+        cache = self.cache
+        parts: set[str] = set()
+        ended = []
+        for word in words:
+            base = word.rstrip(ENDS)
+            if base != word and base and base[-1] in ALNUM:
+                ended.append((word, base, word[len(base) :]))
+                parts.update(ended[-1][1:])
+            else:
+                parts.add(word)
+        new = parts.difference(cache)
+        plain = [w for w in new if w.isalpha()]
+        for kind in (plain, list(new.difference(plain))):
+            for k in range(0, len(kind), 256):
+                part = kind[k : k + 256]
+                for word, ids in zip(part, self._parts(part, kind is plain)):
+                    cache[word] = ids
+        for word, base, end in ended:
+            cache[word] = cache[base] + cache[end]
+
+    def _parts(self, part: list[str], plain: bool) -> list[bytes]:
+        """The ids of each word of ``part``. plain: words of letters, so of one pre-token each if
+        there are as many last ids as words; that saves the offsets."""
+        text = " ".join(part)
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(self.last[ids]) + 1
+        if not plain or len(cuts) != len(part) or cuts[-1] != len(ids):
+            e = self.tokenizer.encode(text, add_special_tokens=False)
             ids = np.array(e.ids, dtype="<u4")
             size = np.fromiter(map(len, part), np.int64, len(part)) + 1
-            cuts = np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), np.cumsum(size)).tolist()
-            for word, s, t in zip(part, [0, *cuts], cuts):
-                self.cache[word] = ids[s:t].tobytes()
+            cuts = np.searchsorted(np.fromiter(map(_FIRST, e.offsets), np.int64, len(ids)), np.cumsum(size))
+        flat, ends = ids.tobytes(), (4 * cuts).tolist()
+        return [flat[s:t] for s, t in zip([0, *ends], ends)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of all texts in order, offsets by text); null counts as empty."""
         words, index, offsets = blank_words(texts, lines=True)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {"": b""}
+        if len(self.cache) > CACHE_WORDS:  # words that come again stay
+            self.cache = {"": b""} | {w: self.cache[w] for w in words if w in self.cache}
         self._learn([w for w in words if w not in self.cache])
-        return gather([self.cache[w] for w in words], index, offsets)
+        return gather(list(map(self.cache.__getitem__, words)), index, offsets)
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}

@@ -157,6 +157,23 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark, []), path).count() == 0
 
 
+def test_packing_words(monkeypatch):
+    """Words in parts and without offsets get their ids; a full cache keeps the words of the next slice."""
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    tok = packing.WordTokenizer(path)
+    odd = "a. 9. ab,. don't. 's. x's, a). é. <|endoftext|>. z<|endoftext|>! ... A1B2. # a#$% x\u0301. 1.5, 1.,. ,.a i'll! '\x1d İ İstanbul ǅ ß, e\u0301 日本語 語. a\u00a0b \u2028 ² a². Ⅷ"
+    for part in (odd, words(300, 21), "İ " * 3 + words(20, 22)):
+        ids, off = tok.encode(pa.array([part, None, part + "."], pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == [tok.tokenizer.encode(t, add_special_tokens=False).ids for t in (part, "", part + ".")]
+    learned = []
+    monkeypatch.setattr(packing, "CACHE_WORDS", 3)
+    monkeypatch.setattr(tok, "_parts", lambda part, plain, f=tok._parts: learned.extend(part) or f(part, plain))
+    tok.cache = {"": b""}
+    for text in ("the cat sat, the end", "the dog, sat", "the cow sat"):
+        tok.encode(pa.array([text]))
+    assert learned.count("the") == learned.count("sat") == 1 and len(tok.cache) < 8
+
+
 def brute_pieces(v, text):
     x = text.replace(sentencepieces.BLANK, sentencepieces.LITERAL).replace(" ", sentencepieces.BLANK)
     best = [(0.0, 0, None)] + [None] * len(x)
