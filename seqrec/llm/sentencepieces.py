@@ -23,9 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from seqrec.llm.textbuf import blank_words, gather, slices
+from seqrec.llm.textbuf import blank_words, buffers, gather, slices
 
 BLANK = "\u2581"
 #: Stands for a U+2581 of the text; a lone surrogate, which no valid text holds.
@@ -142,20 +143,24 @@ def _within_window(v: Vocabulary, text: str) -> list[int]:
     n = len(text)
     low = float("-inf")
     score, back, piece = [0.0] + [low] * n, [0] * (n + 1), [None] * (n + 1)
-    get = v.prefixes.get
-    for i in range(n):
+    get, other = v.prefixes.get, v.other
+    for i, char in enumerate(text):
         base = score[i]
-        j = i + 1
-        got = get(text[i])
+        got = get(char)
         if got is None or got[0] < 0:
-            if base + v.other > score[j]:
-                score[j], back[j], piece[j] = base + v.other, i, text[i]
+            if base + other > score[i + 1]:
+                score[i + 1], back[i + 1], piece[i + 1] = base + other, i, char
             if got is None:
                 continue
+        j = i + 1
         while got is not None:
             k, s = got
-            if k >= 0 and (base + s > score[j]):
-                score[j], back[j], piece[j] = base + s, i, k
+            if k >= 0:
+                s += base
+                if s > score[j]:
+                    score[j] = s
+                    back[j] = i
+                    piece[j] = k
             j += 1
             if j > n:
                 break
@@ -188,6 +193,7 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.v = Vocabulary(path)
+        self.raw = pa.array(self.v.raw, pa.binary())
         self.plain: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -219,11 +225,11 @@ class Encoder:
             parts = [self.encode(t or "") for t in texts.to_pylist()]
             return gather(parts, np.arange(len(parts)), np.arange(len(parts) + 1))
         words, index, offsets = blank_words(texts, lines=False)
-        if len(self.words) > CACHE_UNITS:
-            self.words = {}
+        if len(self.words) > CACHE_UNITS:  # words that come again stay
+            self.words = {w: self.words[w] for w in words if w in self.words}
         for w in words:
             if w not in self.words:
-                self.words[w] = array("I", segment(self.v, " " + w)).tobytes()
+                self.words[w] = self.encode(w) if "\n" in w else array("I", segment(self.v, " " + w)).tobytes()
         parts = [self.words[w] for w in words]
         empty = words.index("") if "" in words else -1
         if empty >= 0:  # neighbouring blanks may be one piece: such texts are encoded by the other way
@@ -238,8 +244,17 @@ class Encoder:
             index, offsets = index[keep], count[offsets]
         return gather(parts, index, offsets)
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.v.raw.__getitem__, ids))[1:].decode()
+    def decode_column(self, ids: pa.Array) -> pa.Array:
+        """The texts of lists of ids; the bytes of all pieces are laid down at once."""
+        pieces = self.raw.take(ids.flatten())
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        data, at = buffers(pieces)
+        begin, some = at[ends[:-1]], ends[1:] > ends[:-1]
+        keep = np.ones(int(at[-1]), bool)
+        keep[begin[some]] = False  # the blank that each begins with
+        at = np.append(begin, at[-1]) - np.concatenate([[0], np.cumsum(some)])
+        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(at), pa.py_buffer(data[: len(keep)][keep])])
+        return pc.if_else(ids.is_valid(), texts.cast(pa.string()), pa.scalar(None, pa.string()))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -270,8 +285,7 @@ def _decode_column(path: str):
         enc = _encoder(path)
         for batch in batches:
             ids = batch.column(1)
-            texts = [None if not ids[k].is_valid else enc.decode(ids[k].values.to_numpy().tolist()) for k in range(len(ids))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, enc.decode_column(ids)], names=["doc_id", "ids", "text"])
 
     return run
 

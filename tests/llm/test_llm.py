@@ -210,6 +210,25 @@ def test_sentencepieces(spark):
     assert s.ids == brute_pieces(v, "abcdefghij" * 3000) and s.most <= 2 * v.longest
 
 
+def test_sentencepieces_columns(monkeypatch):
+    """Columns of texts and of ids with nulls, empty texts and offsets; a full cache keeps what comes again."""
+    enc = sentencepieces.Encoder(queries.tokenizer_path("piece_bpe_32k.model"))
+    texts = ["first", None, "", " ", "\n", "a\nb c\n\nd", "é 日本\n😀 x", None, words(30, 9) + "\nend"]
+    ids = [None if t is None else brute_pieces(enc.v, " " + t) if t else [] for t in texts]
+    flat, off = enc.encode_column(pa.array(texts))
+    assert [flat[a:b].tolist() for a, b in zip(off, off[1:])] == [x or [] for x in ids]
+    lists = pa.array(ids, pa.list_(pa.int32()))
+    for k in range(len(texts)):
+        assert enc.decode_column(lists[k:]).to_pylist() == texts[k:] and enc.decode_column(lists[:k]).to_pylist() == texts[:k]
+    learned = []
+    monkeypatch.setattr(sentencepieces, "CACHE_UNITS", 3)
+    monkeypatch.setattr(sentencepieces, "segment", lambda v, t, f=sentencepieces.segment: learned.append(t) or f(v, t))
+    enc.words = {}
+    for text in ("the cat sat on", "the dog", "the cow"):
+        enc.encode_column(pa.array([text]))
+    assert learned.count(" the") == 1 and len(enc.words) < 5
+
+
 def test_language(spark):
     r = random.Random(1)
     vocab = {"xx": "der die und nicht ein haus wasser".split(), "yy": "the of and water house that".split(), "zz": "вода дом это и не".split()}
