@@ -83,6 +83,25 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_line_parities_of_long_lines(spark):
+    """Wide parities turn away long lines that the short ones let pass, and never a pair that is similar."""
+    r = random.Random(5)
+    base = "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=1600))
+    changed = lambda n: "".join(r.choice("0123456789") if k % (1600 // n) == 7 and k // (1600 // n) < n else c for k, c in enumerate(base))
+    lines = [base, *map(changed, (2, 10, 20, 21, 22, 23, 24, 30, 40, 50)), base[:1300], base[:1250], base * 2, base[:300], base[:245]]
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    bits = line_dedup._parities(texts.select("id"), texts)
+    sides = [bits.select(*(F.col(c).alias(f"{x}_{c}") for c in bits.columns)) for x in "ab"]
+    kinds = [F.expr(line_dedup._possible("a_", "b_", 80, w)).alias(n) for n, w in (("short", line_dedup._NARROW), ("wide", line_dedup._WIDE))]
+    sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in lines]
+    got = {(x.a_id, x.b_id): x for x in sides[0].crossJoin(sides[1]).where("a_id < b_id").select("a_id", "b_id", "a_size", *kinds).collect()}
+    similar = {(i, j) for i, j in got if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert all(got[k].short and got[k].wide and got[k].a_size == len(sets[k[0]]) for k in similar) and (0, 13) in similar and (0, 8) not in similar
+    assert got[0, 9].short and not got[0, 9].wide and sum(x.wide for x in got.values()) < sum(x.short for x in got.values())
+    every = spark.createDataFrame(list(got), "a long, b long")
+    assert {(x.a, x.b) for x in line_dedup._verified(every, texts, 80, bits).collect()} == similar
+
+
 def test_line_dedup_recall(spark):
     """Lines at similarities about the threshold against brute force on all pairs and union-find."""
     r = random.Random(8)
