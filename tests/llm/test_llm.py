@@ -134,6 +134,26 @@ def test_line_dedup_recall(spark):
     assert len(links) > 400 and got <= want and len(got) >= 0.98 * len(want)
 
 
+def test_line_dedup_listing_and_wide_ids(spark, monkeypatch):
+    """Few pairs are listed without another round of neighbours, with the result of that round; ids beyond 32 bits are no other."""
+    r = random.Random(21)
+    lines = []
+    for k in range(40):
+        base = words(r.randint(12, 40), 3000 + k)
+        lines += [base, base[:30] + "#" + base[31:], base[:50] + "##" + base[52:], base + " more words"]
+    texts = [(k // 4, "\n".join(lines[k : k + 4])) for k in range(0, len(lines), 4)]
+    tags, kept = [], line_dedup.materialise
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, tag, *a, **k: (tags.append(tag), kept(df, tag, *a, **k))[1])
+    got = {}
+    for listed, far in ((32, 0), (-1, 0), (32, 1 << 40)):
+        monkeypatch.setattr(line_dedup, "LISTED", listed)
+        tags.clear()
+        got[listed, far] = {(x.doc_id - far, no) for x in line_dedup.dropped_lines(docs(spark, [(i + far, t) for i, t in texts])).collect() for no in x.dropped}
+        rounds = tags.count("line-links")
+        assert rounds == 2 if listed > 0 else rounds in (2, 3)
+    assert len(got[32, 0]) >= 100 and got[32, 0] == got[-1, 0] == got[32, 1 << 40]
+
+
 def test_packing_plan():
     r = random.Random(5)
     for n in (0, 1, 30, 3000):
